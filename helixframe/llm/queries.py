@@ -71,8 +71,14 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(_docs(spark, sf_dir))
 
 
+def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_weak import pii_report
+
+    return pii_report(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_raked_mixture, op2_warc_two_level_index, op3_order_minhash, op4_license_patience, op5_quality_mcd, op6_token_rollup, op7_exact_complement_packing, op8_patricia_owners, op9_external_shuffle)}
+    return {f.__name__: f for f in (op1_raked_mixture, op2_warc_two_level_index, op3_order_minhash, op4_license_patience, op5_quality_mcd, op6_token_rollup, op7_exact_complement_packing, op8_patricia_owners, op9_external_shuffle, op10_weak_pii)}
 
 
 ORACLE = {
