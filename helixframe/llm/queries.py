@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -50,13 +50,13 @@ def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_rollup import rollup_report
 
-    return rollup_report(_docs(spark, sf_dir), {"byte_bpe_50k": _vocabulary()})
+    return rollup_report(_docs(spark, sf_dir), {"byte_bpe_50k": vocabulary()})
 
 
 def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_docs(spark, sf_dir), _vocabulary(), keep_ids=False)
+    return pack(_docs(spark, sf_dir), vocabulary(), keep_ids=False)
 
 
 def op8_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
