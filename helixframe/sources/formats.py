@@ -91,7 +91,7 @@ def ladump(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = lambda c: F.max(F.when(F.col("f")[0] == c, F.col("f")))
     t = body.groupBy("n").agg(kind("P").alias("p"), kind("L").alias("l"), kind("C").alias("c"))
     n = lambda name, i: F.col(name)[i].cast("long")
-    rows = t.select(F.col("n").cast("long"), n("p", 1).alias("v"), n("p", 2).alias("h"), F.col("p")[3].alias("strand"), n("c", 1).alias("beg_v"), n("c", 2).alias("end_v"), n("l", 1).alias("len_v"), n("c", 3).alias("beg_h"), n("c", 4).alias("end_h"), n("l", 2).alias("len_h"))
+    rows = t.select(n("p", 1).alias("v"), n("p", 2).alias("h"), F.col("p")[3].alias("strand"), n("c", 1).alias("beg_v"), n("c", 2).alias("end_v"), n("l", 1).alias("len_v"), n("c", 3).alias("beg_h"), n("c", 4).alias("end_h"), n("l", 2).alias("len_h"))
     return rows, rows.select(F.col("v").alias("id")).union(rows.select(F.col("h").alias("id"))).distinct()
 
 

@@ -18,17 +18,16 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 8, a: float = 0.57,
     quadrant by the shares, which are varied by up to `vary` and normalised; loops are drawn again."""
     edges = spark.range(edge_factor << scale).select(F.col("id"), F.lit(0).alias("attempt"))
 
+    def quadrant(level: Column) -> Column:
+        shares = [share * (1 - vary + 2 * vary * _uniform(seed, F.col("id"), F.col("attempt"), level, i)) for i, share in enumerate((a, b, c, 1 - a - b - c))]
+        draw = _uniform(seed + 1, F.col("id"), F.col("attempt"), level) * (shares[0] + shares[1] + shares[2] + shares[3])
+        return F.when(draw < shares[0], 0).when(draw < shares[0] + shares[1], 1).when(draw < shares[0] + shares[1] + shares[2], 2).otherwise(3)
+
     def placed(rows: DataFrame) -> DataFrame:
-        src, dst = F.lit(0).cast("long"), F.lit(0).cast("long")
-        for level in range(scale):
-            own = [share * (1 - vary + 2 * vary * _uniform(seed, F.col("id"), F.col("attempt"), level, i)) for i, share in enumerate((a, b, c, 1 - a - b - c))]
-            total = own[0] + own[1] + own[2] + own[3]
-            draw = _uniform(seed + 1, F.col("id"), F.col("attempt"), level) * total
-            down = F.when(draw >= own[0] + own[1], 1).otherwise(0)
-            right = F.when(draw < own[0], 0).when(draw < own[0] + own[1], 1).when(draw < own[0] + own[1] + own[2], 0).otherwise(1)
-            rows = rows.withColumns({f"__d{level}": down, f"__r{level}": right})
-            src, dst = src * 2 + F.col(f"__d{level}"), dst * 2 + F.col(f"__r{level}")
-        return rows.select("id", "attempt", src.alias("src"), dst.alias("dst"))
+        """The quadrants of all levels, then the vertex numbers that their halves spell."""
+        drawn = rows.withColumn("levels", F.transform(F.sequence(F.lit(1), F.lit(scale)), quadrant))
+        spelt = lambda bit: F.aggregate("levels", F.lit(0).cast("long"), lambda acc, x: acc * 2 + bit(x))
+        return drawn.select("id", "attempt", spelt(lambda x: F.floor(x / 2)).alias("src"), spelt(lambda x: x % 2).alias("dst"))
 
     done, todo = None, edges
     for _ in range(64):
@@ -69,7 +68,7 @@ def cliques(spark: SparkSession, vertices: int, largest: int, inter: float = 0.5
     member = table.select("clique", "start", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
     inside = member.select((F.col("start") + F.col("i")).alias("src"), F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.col("start") + j)).alias("dst")).where("src <> dst")
     steps = max(1, len(starts).bit_length())
-    far = table.select("clique", "start", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("s")).select("clique", "start", "s", F.pmod(F.col("clique") + F.shiftleft(F.lit(1), F.col("s")), F.lit(len(starts))).alias("other"))
+    far = table.select("clique", "start", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("s")).select("clique", "start", "s", F.pmod(F.col("clique") + F.expr("shiftleft(1, s)"), F.lit(len(starts))).alias("other"))
     far = far.where((F.col("other") != F.col("clique")) & (_uniform(seed, F.col("clique"), F.col("s")) < F.lit(inter) / F.pow(F.lit(2.0), "s")))
     between = far.join(table.select(F.col("clique").alias("other"), F.col("start").alias("dst")), "other").select(F.col("start").alias("src"), "dst")
     both = between.union(between.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
