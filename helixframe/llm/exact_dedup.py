@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import lean
+
 SPACES = b" \t\n\x0b\x0c\r"
 TRIE_MB = 64
 
@@ -177,8 +179,8 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie
         ready.extend(trie.drain())
         yield from packed(ready)
 
-    first = plain.mapInArrow(combine, partial)
-    merged = first.repartition("__part").sortWithinPartitions("__part").mapInArrow(own, partial)
+    first = plain.mapInArrow(lean(combine), partial)
+    merged = first.repartition("__part").sortWithinPartitions("__part").mapInArrow(lean(own), partial)
     return merged.select(*[F.col("__record")[c].alias(c) for c in names], "__part", "__points", "__rows", _sha(F.col("__record")[text_col]).alias("__sha"))
 
 
@@ -201,7 +203,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 points.append(len(text))
             yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.int64()), pa.array(shas), pa.array(points, pa.int64())], schema=arrow)
 
-    rows = narrow.mapInArrow(digest, schema)
+    rows = narrow.mapInArrow(lean(digest), schema)
     best = owners(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", trie_mb)
     best = best.select(F.col("doc_id").cast("long").alias("keep_id"), F.col("__rows").alias("group_size"), F.col("__points").alias("__best"), F.col("__sha").alias("text_sha256"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__points") == F.col("__best"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 LEAST_COVERAGE = 0.8
 GAP_CELLS = 10_000
 _WORD = re.compile(r"[A-Za-z0-9]+")
@@ -172,4 +174,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                 rows.append((best[0], best[3], len(found), [dict(zip(("template", "start", "end", "coverage"), x, strict=True)) for x in found]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], schema[i + 1].type) for i in range(4))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, coverage double, n_finds long, finds array<struct<template:string,start:long,end:long,coverage:double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, license string, coverage double, n_finds long, finds array<struct<template:string,start:long,end:long,coverage:double>>")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces_of, text_buffer, written
+from .common import lean, pieces_of, text_buffer, written
 
 CAPACITY = 2048
 # Fixed value: the public pre-tokenisation pattern of this byte-level vocabulary family.
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                         at, k = at + length, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.encode(docs["text"], "UTF-8"), F.lit(b""))).mapInArrow(cut, sql)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.encode(docs["text"], "UTF-8"), F.lit(b""))).mapInArrow(lean(cut), sql)
 
 
 @dataclass
@@ -236,4 +236,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     ranked = table.join(firsts.select("task", "length", "first"), ["task", "length"]).withColumn("global", F.col("first") + F.col("rank"))
-    return ranked.select(*names, "global").mapInArrow(place, sql)
+    return ranked.select(*names, "global").mapInArrow(lean(place), sql)

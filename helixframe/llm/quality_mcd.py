@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_dir, mix, per_value, pieces_of, shared_dir, text_buffer, word_bounds, word_hashes, written
+from .common import delete_dir, lean, mix, per_value, pieces_of, shared_dir, text_buffer, trim, word_bounds, word_hashes, written
 
 U64 = np.uint64
 SYMBOLS = b"#*$%&|<>"
@@ -70,7 +70,9 @@ def text_counts(column: pa.Array) -> list[np.ndarray]:
 
 
 def _stats(texts: pa.Array) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array(x) for x in text_counts(texts)], names=list(STATS))
+    counts = text_counts(texts)
+    trim()
+    return pa.StructArray.from_arrays([pa.array(x) for x in counts], names=list(STATS))
 
 
 def stats_of(text: Column) -> Column:
@@ -111,11 +113,11 @@ _ESTIMATE = pa.schema([("__lang", pa.string()), ("__source", pa.string()), ("cen
 _ESTIMATE_SQL = "__lang string, __source string, centre array<double>, inverse array<double>"
 
 
-def distance(x: Column) -> Column:
-    """Squared Mahalanobis distance of array x under columns centre and inverse."""
-    d = [x[i] - F.col("centre")[i] for i in range(D)]
+def distance(x: Column, prefix: str = "") -> Column:
+    """Squared Mahalanobis distance of array x under columns centre and inverse (with a prefix)."""
+    d = [x[i] - F.col(f"{prefix}centre")[i] for i in range(D)]
     pairs = [(i, j) for i in range(D) for j in range(i, D)]
-    return sum((d[i] * d[j] * F.col("inverse")[k] for k, (i, j) in enumerate(pairs)), F.lit(0.0))
+    return sum((d[i] * d[j] * F.col(f"{prefix}inverse")[k] for k, (i, j) in enumerate(pairs)), F.lit(0.0))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -147,19 +149,20 @@ def fit(stats: DataFrame, least_rows: int = LEAST_ROWS, h_share: float = H_SHARE
         far = rows.join(near(params), ["__lang", "__source"]).select("__lang", "__source", "__x", distance(F.col("__x")).alias("d"))
         limits = far.groupBy("__lang", "__source").agg(F.percentile_approx("d", h_share, 10_000).alias("limit"))
         nearest = far.join(near(limits), ["__lang", "__source"]).where("d <= limit")
-        params = written(_moments(nearest).mapInArrow(_estimate, _ESTIMATE_SQL))
+        params = written(_moments(nearest).mapInArrow(lean(_estimate), _ESTIMATE_SQL))
     return written(pools.join(params, ["__lang", "__source"]).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "centre", "inverse"))
 
 
 def judged(rows: DataFrame, params: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """rows (with lang, source and the struct __s of counts) plus __failed, __d2 and __kept."""
     small = params.count() <= BROADCAST_GROUPS
+    params = params.select("__lang", "__source", F.col("centre").alias("__centre"), F.col("inverse").alias("__inverse"))
     keyed = rows.withColumn("__lang", F.coalesce("lang", F.lit("\0"))).withColumn("__source", F.coalesce("source", F.lit("\0")))
     joined = keyed.join(F.broadcast(params) if small else params, ["__lang", "__source"], "left")
     x = F.array(*vector(F.col("__s")))
     failed = base_failed(F.col("__s"))
-    d2 = F.when(F.col("centre").isNotNull(), distance(x))
-    return joined.withColumns({"__failed": failed, "__d2": d2, "__kept": ~failed & (F.coalesce(d2, F.lit(0.0)) <= cutoff)}).drop("centre", "inverse", "__lang", "__source")
+    d2 = F.when(F.col("__centre").isNotNull(), distance(x, "__"))
+    return joined.withColumns({"__failed": failed, "__d2": d2, "__kept": ~failed & (F.coalesce(d2, F.lit(0.0)) <= cutoff)}).drop("__centre", "__inverse", "__lang", "__source")
 
 
 def quality_report(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

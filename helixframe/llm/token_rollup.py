@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, shared_dir, text_buffer, word_bounds, written
+from .common import lean, pieces_of, shared_dir, text_buffer, word_bounds, written
 from .packing import Encoder
 
 KEY, CELL = ["doc_id", "version"], ["source", "lang", "version"]
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
 
     text = F.coalesce(docs["text"], F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.md5(text).alias("text_md5"), F.encode(text, "UTF-8").alias("text"))
-    return plain.mapInArrow(count, "doc_id long, source string, lang string, text_md5 string, version string, tokens long")
+    return plain.mapInArrow(lean(count), "doc_id long, source string, lang string, text_md5 string, version string, tokens long")
 
 
 def rollup_report(docs: DataFrame, vocabularies: dict[str, str], path: str | None = None) -> DataFrame:

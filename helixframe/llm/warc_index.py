@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import lean, shared_dir, written
 
 LEAST_REVISIT, BLOCK_LINES, FILE_BYTES, ROOT_ROWS = 1000, 1000, 256 << 20, 20_000
 DATE = "2024-01-01T00:00:00Z"
@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
             if out is not None:
                 out.out.close()
 
-    return written(marked.select("page_id", "url", "payload", "digest", "owner").mapInArrow(write, CAPTURES), f"{folder}/captures")
+    return written(marked.select("page_id", "url", "payload", "digest", "owner").mapInArrow(lean(write), CAPTURES), f"{folder}/captures")
 
 
 DIRECTORY = "first string, last string, lines long, file string, offset long, length long"
@@ -178,7 +178,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
     n = captures.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = captures.repartitionByRange(int(n), "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    return written(ordered.mapInArrow(write, DIRECTORY), f"{folder}/directory")
+    return written(ordered.mapInArrow(lean(write), DIRECTORY), f"{folder}/directory")
 
 
 _PLACES = "key string, file string, offset long, length long"
@@ -207,8 +207,8 @@ def lookup(keys: DataFrame, directory: DataFrame) -> DataFrame:
             own = [s for a, b, _ in rows for s in range(a, b + 1)]
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(own, pa.int64())], names=[*batch.schema.names, "segment"])
 
-    wanted = keys.select("key").mapInArrow(segments, "key string, segment long")
-    reach = directory.mapInArrow(spread, DIRECTORY + ", segment long")
+    wanted = keys.select("key").mapInArrow(lean(segments), "key string, segment long")
+    reach = directory.mapInArrow(lean(spread), DIRECTORY + ", segment long")
     met = wanted.join(reach, "segment").where((F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last")))
 
     def search(batches):
@@ -228,7 +228,7 @@ def lookup(keys: DataFrame, directory: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "offset", "length"])
 
     dealt = met.select("key", "file", "offset", "length").distinct().repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
-    return dealt.mapInArrow(search, _PLACES)
+    return dealt.mapInArrow(lean(search), _PLACES)
 
 
 RECORDS = "page_id long, url string, kind string, digest string, payload_bytes long, refers_to long, payload binary"
@@ -256,7 +256,7 @@ def read_records(places: DataFrame, keep_payload: bool = True) -> DataFrame:
     parts = places.sparkSession.conf.get("spark.sql.shuffle.partitions")
     # ranges of (file, offset): neighbours stay together, and one large file is still dealt over many tasks
     ordered = places.repartitionByRange(int(parts), "file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInArrow(read, RECORDS)
+    return ordered.mapInArrow(lean(read), RECORDS)
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def keys_of(pages: DataFrame) -> DataFrame:
             ids, urls = (batch.column(c).to_pylist() for c in ("page_id", "url"))
             yield pa.RecordBatch.from_arrays([pa.array([capture_key(u, i) for u, i in zip(urls, ids, strict=True)], pa.string())], names=["key"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(make, "key string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(lean(make), "key string")
 
 
 def archive_report(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
