@@ -4,12 +4,14 @@ The k-mers are five-word shingles, each labelled with its occurrence number in t
 orders them by a hash of its own, takes the three least and keeps them in text order; two texts are candidates when a
 row agrees whole. Shingle similarity 0.8 gives a row's agreement a chance of about one half, so twenty rows miss such
 a pair about once in two million. Candidates are verified by a banded alignment of their words: linked when
-1 - edits / words of the longer text is at least 0.8. Classes are the connected components of the links.
+1 - edits / words of the longer text is at least 0.8, and the sets of their shingles have at least a fifth in common, so
+that a phrase which both repeat hundreds of times counts once (random edits of a fifth of the words leave about that
+much). Classes are the connected components of the links.
 
 Equal texts are one node. In a bucket (equal row) all members are first held against one pivot; then, round by round,
 against eight times as many pivots each, but only members whose components still differ and whose lengths allow the
 similarity. At the end every pair of a bucket was verified, is in one class, or has sketches that rule it out: from the
-second round on, 256 one-bit minima of the shingles must agree in at least 192, which two texts of shingle similarity
+second round on, 256 one-bit minima of the shingle sets must agree in at least 192, which two texts of shingle similarity
 0.5 do on average and those of 0.8 miss about once in 1e12 (eight standard deviations). That keeps a passage that many
 texts share from making all their pairs. A group of thousands of copies costs one comparison a member. No bucket is
 gathered in a task; pairs come from joins by bucket.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_dir, mix, pieces_of, seeds, shared_dir, text_buffer, word_bounds, word_hashes, written
+from .common import delete_dir, lean, mix, pieces_of, seeds, shared_dir, text_buffer, word_bounds, word_hashes, written
 from .graph_cc import components
 
 U64 = np.uint64
@@ -34,6 +36,7 @@ WORDS, ROWS, MINIMA, SIMILARITY = 5, 20, 3, 0.8
 PIVOT_GROWTH = 8
 #: Nodes that lose their place are broadcast up to this number (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_NODES = 200_000
+LEAST_SHARED = 0.2
 _SPREAD = 24
 #: Words of 64 one-bit minima each, and how many bits of two sketches may differ.
 BIT_WORDS, MOST_DIFFERENT = 4, 64
@@ -44,7 +47,7 @@ def sketches(column: pa.Array, k: int = WORDS, rows: int = ROWS, minima: int = M
     data, offsets = text_buffer(column)
     row_seeds = seeds(rows, seed)
     all_words, all_keys = [np.zeros(0, np.int64)], [np.zeros((0, rows), np.int64)]
-    for _, _, part, off in pieces_of(data, offsets, 2 << 20):
+    for _, _, part, off in pieces_of(data, offsets):
         starts, ends, first = word_bounds(part, off)
         words = np.diff(first)
         keys = np.zeros((len(words), rows), U64)
@@ -93,7 +96,8 @@ def _labelled(grams: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     begins = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
     label = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
     out = grams.copy()
-    out[order] = mix(grams[order] + label.astype(U64) * U64(0x9E3779B97F4A7C15))
+    later = label > 0
+    out[order[later]] = mix(grams[order[later]] + label[later].astype(U64) * U64(0x9E3779B97F4A7C15))
     return out
 
 
@@ -174,6 +178,17 @@ def edits_within(a: list, b: list, most: int) -> int | None:
     return edits
 
 
+def linked(a: list, b: list, similarity: float = SIMILARITY) -> bool:
+    """Whether two word lists are near copies; texts without words have no links."""
+    longer = max(len(a), len(b))
+    if not longer:
+        return False
+    x, y = (set(zip(*(w[i:] for i in range(WORDS)))) or {tuple(w)} for w in (a, b))
+    if len(x & y) < LEAST_SHARED * len(x | y):
+        return False
+    return edits_within(a, b, int(longer * (1 - similarity) + 1e-9)) is not None
+
+
 def _node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
@@ -200,14 +215,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                             words.clear()
                         words[key] = own[i].as_py().split()
                     both.append(words[key])
-                longer = max(map(len, both))
-                keep.append(longer > 0 and edits_within(*both, int(longer * (1 - similarity) + 1e-9)) is not None)
+                keep.append(linked(*both, similarity))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], schema=schema)
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("at"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("bt"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(align, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(lean(align), "a binary, b binary")
 
 
 def _bit_sketches(texts: DataFrame) -> DataFrame:
@@ -219,12 +233,11 @@ def _bit_sketches(texts: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             bits = np.zeros((batch.num_rows, BIT_WORDS), U64)
-            for first, _, part, off in pieces_of(data, offsets, 2 << 20):
+            for first, _, part, off in pieces_of(data, offsets):
                 starts, ends, begin = word_bounds(part, off)
                 grams, text_of = _shingles(word_hashes(part, starts, ends), np.diff(begin), WORDS)
                 if not len(grams):
                     continue
-                grams = _labelled(grams, text_of)
                 at = np.flatnonzero(np.concatenate([[True], text_of[1:] != text_of[:-1]]))
                 for r, seed in enumerate(row_seeds):
                     low = np.minimum.reduceat(mix(grams ^ seed), at) & U64(1)
@@ -232,7 +245,7 @@ def _bit_sketches(texts: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, BIT_WORDS, dtype=np.int32), pa.array(bits.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists], schema=schema)
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, bits array<long>")
+    return texts.select("node", "text").mapInArrow(lean(run), "node binary, bits array<long>")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, minima: int = MINIMA, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +260,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = pa.ListArray.from_arrays(np.arange(0, len(n) * rows + 1, rows, dtype=np.int32), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(n), lists], schema=schema)
 
-    table = written(base.mapInArrow(sketch, "doc_id long, node binary, n_words long, keys array<long>"))
+    table = written(base.mapInArrow(lean(sketch), "doc_id long, node binary, n_words long, keys array<long>"))
     nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n"), F.first("keys").alias("keys")))
     rows_of = nodes.where("n > 0").select("node", "n", F.explode("keys").alias("key"))
     rows_of = rows_of.withColumn("u", F.xxhash64("node", "key"))
