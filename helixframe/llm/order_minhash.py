@@ -271,18 +271,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = written(texts.dropDuplicates(["node"]))
     pairs = members.where((F.col("node") != F.col("pivot.node")) & _lengths_fit(F.col("n"), F.col("pivot.n"), similarity)).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
     labels = written(components(written(_verified(pairs, texts, similarity))))
-    pivots = 1
+    pivots, bits = 1, None
     largest = members.agg(F.max("size")).first()[0] or 0
+    pool, old_path = members.where(F.col("u") > F.col("pivot.u")).select("key", "size", "node", "n", "u"), None
     while pivots < largest:
-        own = members.where((F.col("size") > max(2, pivots)) & (F.col("u") > F.col("pivot.u"))).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # from round to round only buckets go on that held several components
+        own = pool.where(F.col("size") > max(2, pivots)).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         path = shared_dir(spark)
-        rest = written(own.join(mixed, "key").select("key", "size", "node", "n", "u", "component"), path)
+        rest = written(own.join(mixed, "key").select(*pool.columns, "component"), path)
+        if old_path:
+            delete_dir(spark, old_path)
+        pool, old_path = rest.drop("component"), path
         if rest.isEmpty():
-            delete_dir(spark, path)
             break
-        own_texts = texts.join(rest.select("node").distinct(), "node", "left_semi")
-        rest = rest.join(written(_bit_sketches(own_texts)), "node")
+        if bits is None:
+            bits = written(_bit_sketches(texts.join(rest.select("node").distinct(), "node", "left_semi")))
+        rest = rest.join(bits, "node")
         # the hash as a fraction times the bucket's size is about a member's rank
         rank = (F.col("u") / F.lit(2.0**64) + 0.5) * F.col("size")
         chosen = rest.where((rank >= (0 if pivots == 1 else pivots)) & (rank < pivots * PIVOT_GROWTH))
@@ -298,7 +303,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             old = labels.select("node", F.col("component").alias("old")).union(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("old")))
             new = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
             labels = written(old.join(new, "old", "left").select("node", F.coalesce("new", "old").alias("component")))
-        delete_dir(spark, path)
         pivots *= PIVOT_GROWTH
     return table.select("doc_id", "node", "n_words"), labels
 
