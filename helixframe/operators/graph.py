@@ -6,10 +6,10 @@ kernel's result is its fixpoint, it is the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, numbered
 
 INFINITY = float("inf")
 
@@ -189,5 +189,5 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         if new.join(state.select("id", F.col("label").alias("old")), "id").where("label <> old").isEmpty():
             break
         state = new
-    numbers = state.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("component"))
+    numbers = numbered(state.select("label").distinct(), "label", "component")
     return state.join(numbers, "label").select("id", "component")

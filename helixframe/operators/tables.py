@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -26,3 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{top.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with `name`, the place of each row from 0 in the order of a unique key. Ranges of the key are numbered each by
+    itself and shifted by the rows of the ranges before, so only one row a range passes through a single task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, key).withColumn("__range", F.spark_partition_id())
+    local = cut(ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__range").orderBy(key))))
+    sizes = local.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return local.join(starts, "__range").withColumn(name, (F.col("__start") + F.col("__local") - 1).cast("long")).drop("__range", "__local", "__start")

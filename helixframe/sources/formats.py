@@ -6,10 +6,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seq import divergence, flipped_span, identity_score, percent_score, span_overlap, strand_sign
+from ..operators.tables import numbered as in_order
 
 #: Columns of each tool's lines: separator, then the fields in order.
 LAYOUTS = {
@@ -162,8 +163,8 @@ def overlap_lines(found: DataFrame) -> DataFrame:
 
 def matrix_lines(matrix: DataFrame) -> DataFrame:
     """read, k-mer number and place of an occurrence matrix, ids from 1; k-mers are numbered in their order."""
-    ids = matrix.select("kmer").distinct().withColumn("kmer_id", F.row_number().over(Window.orderBy("kmer")))
-    return matrix.join(ids, "kmer").select(F.concat_ws("\t", F.col("read_id") + 1, "kmer_id", "pos").alias("value"))
+    ids = in_order(matrix.select("kmer").distinct(), "kmer", "kmer_id")
+    return matrix.join(ids, "kmer").select(F.concat_ws("\t", F.col("read_id") + 1, F.col("kmer_id") + 1, "pos").alias("value"))
 
 
 def market_lines(coo: DataFrame, rows: int, cols: int) -> DataFrame:
