@@ -5,6 +5,10 @@ result is a written table that the next one reads, so a lost executor costs one
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm.common import written
@@ -41,7 +45,22 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, vocabulary())
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixture", mixture), ("packing", packing)]
+def _importable(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """stage, with this folder on the path of the session's Python workers, wherever the driver was started."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parent)
+        paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+        if here not in paths:
+            env["PYTHONPATH"] = ":".join([here, *paths])
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+_STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixture", mixture), ("packing", packing)]
+STAGES = [(name, _importable(stage)) for name, stage in _STAGES]
 
 #: The outlier estimates, the raking and the packing are iterative, so SQL can't express run(); tests hold it against
 #: a brute-force version.
