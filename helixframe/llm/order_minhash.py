@@ -10,10 +10,10 @@ much). Classes are the connected components of the links.
 
 Equal texts are one node. In a bucket (equal row) all members are first held against one pivot; then, round by round,
 against eight times as many pivots each, but only members whose components still differ and whose lengths allow the
-similarity. At the end every pair of a bucket was verified, is in one class, or has sketches that rule it out: from the
-second round on, 256 one-bit minima of the shingle sets must agree in at least 192, which two texts of shingle similarity
-0.5 do on average and those of 0.8 miss about once in 1e12 (eight standard deviations). That keeps a passage that many
-texts share from making all their pairs. A group of thousands of copies costs one comparison a member. No bucket is
+similarity. At the end every pair of a bucket was verified, is in one class, or can't be linked: from the second round on,
+parities of the words' counts in 1024 slots (and the lengths) bound a pair's edits from below, and a pair goes unverified
+only if that bound is beyond the edits that a link allows. So a passage that many texts share doesn't make all their pairs,
+and no link depends on a bucket's size. A group of thousands of copies costs one comparison a member. No bucket is
 gathered in a task; pairs come from joins by bucket.
 
 Null texts count as empty; empty texts are equal to each other. A text of under five words is one shingle. Nulls in
@@ -38,8 +38,8 @@ PIVOT_GROWTH = 8
 BROADCAST_NODES = 200_000
 LEAST_SHARED = 0.2
 _SPREAD = 24
-#: Words of 64 one-bit minima each, and how many bits of two sketches may differ.
-BIT_WORDS, MOST_DIFFERENT = 4, 64
+#: Words of 64 parities each in a text's bits.
+BIT_WORDS = 16
 
 
 def sketches(column: pa.Array, k: int = WORDS, rows: int = ROWS, minima: int = MINIMA, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +225,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _bit_sketches(texts: DataFrame) -> DataFrame:
-    """node and bits (longs) of every text: the lowest bit of each of many least shingle hashes."""
+    """node and bits (longs) of every text: the parities of its words' counts in 64 * BIT_WORDS slots. One edit changes
+    two bits at most, so half of the bits in which two texts differ is never more than their edit distance."""
     schema = pa.schema([("node", pa.binary()), ("bits", pa.list_(pa.int64()))])
-    row_seeds = seeds(64 * BIT_WORDS, 11)
+    slots = 64 * BIT_WORDS
 
     def run(batches):
         for batch in batches:
@@ -235,13 +236,10 @@ def _bit_sketches(texts: DataFrame) -> DataFrame:
             bits = np.zeros((batch.num_rows, BIT_WORDS), U64)
             for first, _, part, off in pieces_of(data, offsets):
                 starts, ends, begin = word_bounds(part, off)
-                grams, text_of = _shingles(word_hashes(part, starts, ends), np.diff(begin), WORDS)
-                if not len(grams):
-                    continue
-                at = np.flatnonzero(np.concatenate([[True], text_of[1:] != text_of[:-1]]))
-                for r, seed in enumerate(row_seeds):
-                    low = np.minimum.reduceat(mix(grams ^ seed), at) & U64(1)
-                    bits[first + text_of[at], r // 64] |= low << U64(r % 64)
+                slot = (word_hashes(part, starts, ends) % U64(slots)).astype(np.int64)
+                own, times = np.unique(np.repeat(np.arange(len(begin) - 1), np.diff(begin)) * slots + slot, return_counts=True)
+                own = own[times % 2 == 1]
+                np.bitwise_or.at(bits, (first + own // slots, own % slots // 64), U64(1) << (own % 64).astype(U64))
             lists = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, BIT_WORDS, dtype=np.int32), pa.array(bits.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists], schema=schema)
 
@@ -293,7 +291,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chosen = rest.where((rank >= (0 if pivots == 1 else pivots)) & (rank < pivots * PIVOT_GROWTH))
         p = chosen.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "u", "component", "bits")])
         different = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(BIT_WORDS)), F.lit(0))
-        fits = (different <= MOST_DIFFERENT) & (F.col("p_u") < F.col("u")) & (F.col("p_component") != F.col("component")) & _lengths_fit(F.col("p_n"), F.col("n"), similarity)
+        most = F.floor(F.greatest("p_n", "n") * (1 - similarity) + 1e-9)
+        fits = (different + F.abs(F.col("p_n") - F.col("n")) <= 2 * most) & (F.col("p_u") < F.col("u")) & (F.col("p_component") != F.col("component")) & _lengths_fit(F.col("p_n"), F.col("n"), similarity)
         pairs = rest.join(p, "key").where(fits).select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
         links = written(_verified(pairs, texts, similarity))
         if not links.isEmpty():

@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.exact_dedup import PatriciaTrie, dedup_report, drop_copies, owners
 from helixframe.llm.graph_cc import components
-from helixframe.llm.order_minhash import drop_near_copies, edits_within, linked, near_report
+from helixframe.llm.order_minhash import drop_near_copies, edits_within, linked, near_report, sketches
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -119,6 +120,22 @@ def test_hot_bucket_without_links(spark):
     assert [(r["class_id"], r["count"]) for r in out] == [(0, 31)]
 
 
+def test_copies_in_a_hot_bucket_are_linked(spark):
+    """Pairs of alignment 0.9 that share only a hot passage's buckets link like in a bucket of two."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(7))
+    passage, rows = [word() for _ in range(60)], []
+    for i in range(60):
+        own = [word() for _ in range(60)]
+        rows.append((2 * i, " ".join(passage + own)))
+        rows.append((2 * i + 1, " ".join(passage + [word() if k % 5 == 2 else w for k, w in enumerate(own)])))
+    keys = sketches(pa.array([r[1].encode() for r in rows]))[1]
+    met = [i for i in range(60) if (keys[2 * i] == keys[2 * i + 1]).any()]
+    assert len(met) > 15 and all(distance(*(r[1].split() for r in rows[2 * i : 2 * i + 2])) == 12 for i in met)
+    got = {r["doc_id"]: r["class_id"] for r in near_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - 1 if k % 2 and k // 2 in met else k for k in range(120)}
+
+
 def test_repeated_phrase_is_no_copy(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) + " so it goes" * 150) for i in range(20)]
