@@ -34,9 +34,15 @@ from .common import lean, shared_dir, written
 
 LEAST_REVISIT, BLOCK_LINES, FILE_BYTES, ROOT_ROWS = 1000, 1000, 256 << 20, 20_000
 DATE = "2024-01-01T00:00:00Z"
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029]")
 _DEFAULT_PORT = {"http": "80", "https": "443"}
 
 
+def _escaped(key: str) -> str:
+    """key without characters that end a field or a line."""
+    return _CONTROL.sub(lambda m: "".join(f"%{x:02X}" for x in m.group().encode()), key)
+
+
 def surt(url: str | None) -> str:
     """Sort key of a URL: reversed host labels, then port, path and query; without fragment, scheme and www."""
     url = (url or "").strip()
@@ -44,11 +50,11 @@ def surt(url: str | None) -> str:
         parts = urlsplit(url if "://" in url else "http://" + url)
         host, port = (parts.hostname or "").lower().rstrip("."), parts.port
     except ValueError:
-        return ")" + url.lower()
+        return _escaped(")" + url.lower())
     host = re.sub(r"^www\d*\.", "", host)
     end = f":{port}" if port and str(port) != _DEFAULT_PORT.get(parts.scheme) else ""
     query = "?" + "&".join(sorted(parts.query.split("&"))) if parts.query else ""
-    return (",".join(reversed(host.split("."))) + end + ")" + (parts.path or "/") + query).replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
+    return _escaped(",".join(reversed(host.split("."))) + end + ")" + (parts.path or "/") + query)
 
 
 def capture_key(url: str | None, page_id: int | None) -> str:
@@ -218,7 +224,7 @@ def lookup(keys: DataFrame, directory: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 if place != (r["file"], r["offset"]):
                     place = r["file"], r["offset"]
-                    lines = ranges.read(r["file"], r["offset"], r["length"]).decode().splitlines()
+                    lines = ranges.read(r["file"], r["offset"], r["length"]).decode().split("\n")[:-1]
                     own_keys = [x.split("\t", 1)[0] for x in lines]
                 at = bisect_left(own_keys, r["key"])
                 while at < len(own_keys) and own_keys[at] == r["key"]:

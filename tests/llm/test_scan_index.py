@@ -126,6 +126,15 @@ def test_round_trip_equals_brute_force(spark, tmp_path):
     assert kinds == Counter(r[3] for r in want)
 
 
+def test_urls_with_line_separators_are_found(spark, tmp_path):
+    marks = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029\t\n\r"
+    urls = [f"http://x.example/{i}{m}b" for i, m in enumerate(marks)] + [f"http://[x{m}b" for m in marks] + [f"http://x.example/p{i}" for i in range(50)]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.col("url"))
+    got = wi.archive_report(spark, table, f"file://{tmp_path}/w").collect()
+    assert sorted(r["page_id"] for r in got) == list(range(len(urls)))
+    assert all(not set(wi.surt(u)) & set(marks) for u in urls)
+
+
 def test_lookup_over_many_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(wi, "ROOT_ROWS", 5)
     rows, table = pages(spark)
