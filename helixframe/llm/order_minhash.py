@@ -4,9 +4,9 @@ The k-mers are five-word shingles, each labelled with its occurrence number in t
 orders them by a hash of its own, takes the three least and keeps them in text order; two texts are candidates when a
 row agrees whole. Shingle similarity 0.8 gives a row's agreement a chance of about one half, so twenty rows miss such
 a pair about once in two million. Candidates are verified by a banded alignment of their words: linked when
-1 - edits / words of the longer text is at least 0.8, and the sets of their shingles have at least a fifth in common, so
-that a phrase which both repeat hundreds of times counts once (random edits of a fifth of the words leave about that
-much). Classes are the connected components of the links.
+1 - edits / words of the longer text is at least 0.8. Only where repeats are over half of a text's shingles, the sets
+of the pair's shingles must also have a fifth in common, so that a phrase which both repeat hundreds of times counts
+once. Classes are the connected components of the links.
 
 Equal texts are one node. In a bucket (equal row) all members are first held against one pivot; then, round by round,
 against eight times as many pivots each, but only members whose components still differ and whose lengths allow the
@@ -36,6 +36,7 @@ WORDS, ROWS, MINIMA, SIMILARITY = 5, 20, 3, 0.8
 PIVOT_GROWTH = 8
 #: Nodes that lose their place are broadcast up to this number (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_NODES = 200_000
+#: Share of common shingles that a pair needs where one of its texts mostly repeats itself.
 LEAST_SHARED = 0.2
 _SPREAD = 24
 #: Words of 64 parities each in a text's bits.
@@ -183,8 +184,9 @@ def linked(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     longer = max(len(a), len(b))
     if not longer:
         return False
-    x, y = (set(zip(*(w[i:] for i in range(WORDS)))) or {tuple(w)} for w in (a, b))
-    if len(x & y) < LEAST_SHARED * len(x | y):
+    grams = [list(zip(*(w[i:] for i in range(WORDS)))) or [tuple(w)] for w in (a, b)]
+    x, y = map(set, grams)
+    if any(2 * len(own) < len(g) for own, g in zip((x, y), grams)) and len(x & y) < LEAST_SHARED * len(x | y):
         return False
     return edits_within(a, b, int(longer * (1 - similarity) + 1e-9)) is not None
 

@@ -136,6 +136,34 @@ def test_copies_in_a_hot_bucket_are_linked(spark):
     assert got == {k: k - 1 if k % 2 and k // 2 in met else k for k in range(120)}
 
 
+def near_rule(a, b):
+    """The link rule by itself: a full alignment, and common shingles only for texts that mostly repeat themselves."""
+    grams = [[tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in (a, b)]
+    x, y = map(set, grams)
+    repeats = any(len(g) - len(set(g)) > len(g) / 2 for g in grams)
+    return 10 * distance(a, b) <= 2 * max(len(a), len(b)) and not (repeats and 5 * len(x & y) < len(x | y))
+
+
+def test_links_equal_the_rule_by_itself():
+    rng = random.Random(21)
+    got = []
+    for n in [100] * 40 + [60] * 40:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b, edits = list(a), rng.choice([n // 10, n // 5, n // 5, n // 5 + 1])
+        for i in rng.sample(range(n), edits):
+            b[i] = f"e{i}"
+        got.append(linked(a, b))
+        assert got[-1] == near_rule(a, b) == (5 * edits <= n)
+    assert 20 < sum(got) < 80
+    # edits that leave few shingles
+    a = [f"w{i}" for i in range(100)]
+    b = [f"e{i}" if i >= 30 and (i - 30) % 7 in (0, 3) else w for i, w in enumerate(a)]
+    assert linked(a, b) and near_rule(a, b)
+    phrase = "so it goes".split() * 150
+    a, b = (phrase + [f"{x}{i}" for i in range(40)] for x in "xy")
+    assert not linked(a, b) and not near_rule(a, b)
+
+
 def test_repeated_phrase_is_no_copy(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) + " so it goes" * 150) for i in range(20)]
