@@ -67,6 +67,19 @@ def test_estimates_are_those_of_the_nearest_rows(corpus):
     assert np.allclose(nearest.mean(axis=0), p["centre"], atol=0.02)
 
 
+def test_each_statistic_alone_rejects(spark):
+    """Texts that pass the base rules and whose only fault is repetition, lines or symbols."""
+    clean = lambda i: [f"w{i}x{j}" for j in range(100)]
+    texts = [" ".join(clean(i)) for i in range(400)]
+    texts += [" ".join(clean(i)[:60] + ["so", "it", "goes", "on"] * 10) for i in (1001, 1002)]
+    texts += ["\n".join(clean(i)[:60] + ["again"] * 2 + [f"{w}\nagain" for w in clean(i)[60:98]]) for i in (1003, 1004)]
+    texts += [" ".join(w + "%" * (k % 4 == 0) for k, w in enumerate(clean(i))) for i in (1005, 1006)]
+    table = spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    report = {r["doc_id"]: r for r in quality_report(table).collect()}
+    assert not any(r["base_failed"] for r in report.values())
+    assert {i for i, r in report.items() if not r["kept"]} == set(range(400, 406))
+
+
 def test_small_groups_are_pooled_or_kept(spark, empty):
     few = spark.createDataFrame([(i, "word " * 0 + " ".join(f"w{j}x{i}" for j in range(60)), "en", f"s{i}") for i in range(10)], "doc_id long, text string, lang string, source string")
     assert quality_report(few).where("kept").count() == 10
