@@ -245,6 +245,36 @@ def placement_evaluation(spark, sf_dir):
     return evaluate.placement_scores(found, views.truth(spark, sf_dir), LEAST)
 
 
+# The same over all placements, at the operator's own threshold and with every interval as a query; their millions of
+# pairs are too many for SQL, so tests hold them against brute force on a small table.
+
+
+@query()
+def interval_truth_all(spark, sf_dir):
+    return evaluate.interval_pairs(views.truth(spark, sf_dir))
+
+
+@query()
+def eval_prf_all(spark, sf_dir):
+    return evaluate.scores(evaluate.interval_pairs(views.shifted_truth(spark, sf_dir)), evaluate.interval_pairs(views.truth(spark, sf_dir)), lists_both=False)
+
+
+@query()
+def pair_diff_both_ways_all(spark, sf_dir):
+    return evaluate.pair_differences(evaluate.interval_pairs(views.truth(spark, sf_dir)), evaluate.interval_pairs(views.shifted_truth(spark, sf_dir)))
+
+
+@query()
+def placement_overlap_all(spark, sf_dir):
+    return evaluate.best_reference_overlap(evaluate.interval_pairs(views.shifted_truth(spark, sf_dir)), views.truth(spark, sf_dir))
+
+
+@query()
+def placement_evaluation_all(spark, sf_dir):
+    found = evaluate.interval_pairs(views.shifted_truth(spark, sf_dir)).withColumn("line_no", F.lit(0))
+    return evaluate.placement_scores(found, views.truth(spark, sf_dir))
+
+
 _SPAN = "least({bv}, {bh}) + least({lv} - {ev}, {lh} - {eh}) + (({ev} - {bv}) + ({eh} - {bh})) // 2"
 
 

@@ -46,3 +46,27 @@ def test_candidate_pairs_grow_with_the_table(spark):
 @pytest.mark.parametrize("name", ["hll_estimate", "chain_fold", "overlap_full", "overlap_only_lines", "graph_mis", "graph_coloring", "graph_lloyd", "generate_rmat", "generate_random", "generate_erdos_renyi", "generate_cliques", "maf_to_tab", "markov_probability"])
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_interval_queries_over_all_placements(spark, tmp_path):
+    """At an overlap of 2000 and with every interval as a query, by brute force."""
+    items = [(o, n, (o * 7 + n) % 40 + 1, o % 2, (o * 13 + n * 5) % 50 + 1) for o in range(1, 25) for n in (1, 2)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def places(moved):
+        by = lambda o: o * 37 % 13 * 50 * moved
+        return [(s, f"{o}-{n}", p * 10 + by(o), p * 10 + by(o) + q * 100) for o, n, p, s, q in items]
+
+    def shared(own):
+        return {(a[1], b[1]): w for a in own for b in own if a[0] == b[0] and a[1] != b[1] and (w := min(a[3], b[3]) - max(a[2], b[2])) >= 2000}
+
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    t, g, s = places(0), shared(places(0)), shared(places(1))
+    assert {(a, b): w for a, b, w in run("interval_truth_all")} == g and min(q for *_, q in items) < 20
+    assert run("eval_prf_all")[0][:3] == (len(g.keys() & s.keys()), len(s), len(g))
+    assert {(a, b) for _, a, b in run("pair_diff_both_ways_all")} == g.keys() ^ s.keys()
+    at = {x[1]: x for x in t}
+    best = {(a, b): max(0, min(at[a][3], at[b][3]) - max(at[a][2], at[b][2])) for a, b in s}
+    assert {(a, b): w for a, b, w in run("placement_overlap_all")} == best
+    true = sum(w >= 2000 for w in best.values())
+    assert run("placement_evaluation_all")[0][:3] == (true, len(s), len(g))
