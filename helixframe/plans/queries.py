@@ -254,6 +254,12 @@ def interval_truth_all(spark, sf_dir):
     return evaluate.interval_pairs(views.truth(spark, sf_dir))
 
 
+@query()
+def interval_contained_all(spark, sf_dir):
+    t = views.truth(spark, sf_dir)
+    return evaluate.contained(t, t.withColumnRenamed("read", "query"), 5000).groupBy("query").agg(F.count("*").alias("inside"))
+
+
 @query()
 def eval_prf_all(spark, sf_dir):
     return evaluate.scores(evaluate.interval_pairs(views.shifted_truth(spark, sf_dir)), evaluate.interval_pairs(views.truth(spark, sf_dir)), lists_both=False)

@@ -63,6 +63,8 @@ def test_interval_queries_over_all_placements(spark, tmp_path):
     run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
     t, g, s = places(0), shared(places(0)), shared(places(1))
     assert {(a, b): w for a, b, w in run("interval_truth_all")} == g and min(q for *_, q in items) < 20
+    inside = {x[1]: sum(x[0] == y[0] and y[2] >= x[2] and y[3] <= x[3] for y in t) for x in t}
+    assert dict(run("interval_contained_all")) == inside
     assert run("eval_prf_all")[0][:3] == (len(g.keys() & s.keys()), len(s), len(g))
     assert {(a, b) for _, a, b in run("pair_diff_both_ways_all")} == g.keys() ^ s.keys()
     at = {x[1]: x for x in t}
