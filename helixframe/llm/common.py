@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _own: dict[str, str] = {}
+_kept: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,39 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Workspace:
+    """Tables of one operator call. What the call only needs itself goes when it is left, finished or failed; tables
+    that a lazy result still reads are made with `kept`, and go with `clean_up`."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete_dir(self.spark, path)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(shared_dir(self.spark))
+        return written(df, self.paths[-1])
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        _kept.append(shared_dir(self.spark))
+        return written(df, _kept[-1])
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables that results of this driver read; call it when the results are consumed."""
+    while _kept:
+        delete_dir(spark, _kept.pop())
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, a written table, with a broadcast hint if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the splitmix finaliser)."""
     x = x ^ (x >> U64(30))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_dir, shared_dir, written
+from .common import Workspace, delete_dir, shared_dir, written
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) of any orderable type; gives node and component (its least node) of every linked node.
+def components(links: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """links (a, b) of any orderable type; gives node and component (its least node) of every linked node. Links with a
+    null end and links of a node with itself say nothing; repeated links count once; no links give no rows. work: the
+    workspace that deletes the table behind the result.
 
     Each step is two aggregations and joins by key, written to the shared folder, so neither a large component nor a
     long chain is ever gathered in one task; a hot node's rows are split by the skew join."""
@@ -35,5 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         delete_dir(spark, step)
         delete_dir(spark, path)
         path = new
+    if work is not None:
+        work.paths.append(path)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

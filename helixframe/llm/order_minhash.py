@@ -1,63 +1,86 @@
 """Near duplicates by Order MinHash.
 
 The k-mers are five-word shingles, each labelled with its occurrence number in the text. Each of the sketch's rows
-orders them by a hash of its own, takes the three least and keeps them in text order; two texts are candidates when a
-row agrees whole. Shingle similarity 0.8 gives a row's agreement a chance of about one half, so twenty rows miss such
-a pair about once in two million. Candidates are verified by a banded alignment of their words: linked when
-1 - edits / words of the longer text is at least 0.8. Only where repeats are over half of a text's shingles, the sets
-of the pair's shingles must also have a fifth in common, so that a phrase which both repeat hundreds of times counts
-once. Classes are the connected components of the links.
-
-Equal texts are one node. In a bucket (equal row) all members are first held against one pivot; then, round by round,
-against eight times as many pivots each, but only members whose components still differ and whose lengths allow the
-similarity. At the end every pair of a bucket was verified, is in one class, or can't be linked: from the second round on,
-parities of the words' counts in 1024 slots (and the lengths) bound a pair's edits from below, and a pair goes unverified
-only if that bound is beyond the edits that a link allows. So a passage that many texts share doesn't make all their pairs,
-and no link depends on a bucket's size. A group of thousands of copies costs one comparison a member. No bucket is
-gathered in a task; pairs come from joins by bucket.
-
-Null texts count as empty; empty texts are equal to each other. A text of under five words is one shingle. Nulls in
-other columns don't matter; null ids never name a class unless all of its ids are null. Repeated rows are copies. An
-empty table gives an empty result."""
+orders them by a hash of its own, takes the six least and keeps them in text order; two texts are candidates when a
+row of both holds two of the same labelled k-mers in the same order. A row has a key for each of its 15 ordered pairs, so
+four hashes of a text do what sixty rows of two minima would. Candidates are verified by a banded alignment of their
+words: linked when 1 - edits / words of the longer text is at least 0.8, and by nothing else. Classes are the connected
+components of the links. At 20 % random edits, where a fifth of the shingles are shared, 0.9 of the pairs become
+candidates, and nearly all at fewer edits (the recall test measures this).
+
+Equal texts are one node; only one row of each is sketched. In a bucket (equal key) all members are first held against
+one pivot; then, round by round, against many more pivots each, but only members whose components still
+differ. At the end every pair of a bucket was verified, is in one class, or can't be linked: lengths and the parities of the
+words' counts in 1024 slots bound a pair's edits from below, and a pair goes unverified only if that bound is beyond
+the edits that a link allows. No link depends on a bucket's size. A group of thousands of copies costs one comparison a
+member, a passage that many unlinked texts share one comparison of parities a pair, inside the join. No bucket is gathered
+in a task: buckets are met by joins, whose hot keys are split, and counted by partial sums.
+
+Null texts count as empty; empty texts are equal to each other. A text of under five words is one shingle, and a text of
+one shingle has it for its only key. Nulls in other columns don't matter; null ids never name a class unless all of its
+ids are null. Repeated rows are copies; of rows with equal text and id the least by all columns stays. Columns of any
+names are carried in a struct. An empty table gives an empty result."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_dir, lean, mix, pieces_of, seeds, shared_dir, text_buffer, word_bounds, word_hashes, written
+from .common import Workspace, lean, mix, pieces_of, seeds, small, text_buffer, word_bounds, word_hashes
 from .graph_cc import components
 
 U64 = np.uint64
-WORDS, ROWS, MINIMA, SIMILARITY = 5, 20, 3, 0.8
+WORDS, ROWS, MINIMA, SIMILARITY = 5, 4, 6, 0.8
 #: Growth of the number of pivots from round to round.
-PIVOT_GROWTH = 8
-#: Nodes that lose their place are broadcast up to this number (16 bytes each), and joined by a shuffle beyond.
+PIVOT_GROWTH = 32
+#: Tables of up to so many rows (at most 40 bytes each) are broadcast, and joined by a shuffle beyond.
 BROADCAST_NODES = 200_000
-#: Share of common shingles that a pair needs where one of its texts mostly repeats itself.
-LEAST_SHARED = 0.2
-_SPREAD = 24
+_SPREAD = 32
 #: Words of 64 parities each in a text's bits.
 BIT_WORDS = 16
-
-
-def sketches(column: pa.Array, k: int = WORDS, rows: int = ROWS, minima: int = MINIMA, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and its sketch: one int64 a row. Texts without words have a sketch that isn't used."""
-    data, offsets = text_buffer(column)
-    row_seeds = seeds(rows, seed)
-    all_words, all_keys = [np.zeros(0, np.int64)], [np.zeros((0, rows), np.int64)]
-    for _, _, part, off in pieces_of(data, offsets):
-        starts, ends, first = word_bounds(part, off)
-        words = np.diff(first)
-        keys = np.zeros((len(words), rows), U64)
-        grams, text_of = _shingles(word_hashes(part, starts, ends), words, k)
-        if len(grams):
-            _fill(keys, _labelled(grams, text_of), text_of, row_seeds, minima)
-        all_words.append(words)
-        all_keys.append(keys.view(np.int64))
-    return np.concatenate(all_words), np.concatenate(all_keys)
+#: Texts of more words are aligned one by one; cells of a batch's row; a distance beyond any other.
+_WIDE, _CELLS, _FAR = 3000, 200_000, np.int16(16_000)
+#: Bytes of texts that are taken into Python objects at a time.
+_BYTES = 8 << 20
+
+
+class Sketches:
+    """Of each text: its words, its keys (values and offsets), the parities of its words' counts, and a letter a word."""
+
+    def __init__(self, column: pa.Array, k: int = WORDS, rows: int = ROWS, minima: int = MINIMA, seed: int = 3) -> None:
+        data, offsets = text_buffer(column)
+        row_seeds = seeds(rows, seed)
+        words, keys, sizes, bits, letters = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros((0, BIT_WORDS), U64)], [np.zeros(0, np.uint8)]
+        for _, _, part, off in pieces_of(data, offsets):
+            starts, ends, first = word_bounds(part, off)
+            hashes, n = word_hashes(part, starts, ends), np.diff(first)
+            grams, text_of = _shingles(hashes, n, k)
+            own_keys, own_sizes = _keys(_labelled(grams, text_of), text_of, len(n), row_seeds, minima)
+            words.append(n)
+            keys.append(own_keys)
+            sizes.append(own_sizes)
+            bits.append(_parities(hashes, n))
+            letters.append((hashes >> U64(56)).astype(np.uint8))
+        self.words, self.keys, self.bits = np.concatenate(words), np.concatenate(keys).view(np.int64), np.concatenate(bits).view(np.int64)
+        self.letters = np.concatenate(letters)
+        self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def of(self, i: int) -> set[int]:
+        return set(self.keys[self.offsets[i] : self.offsets[i + 1]].tolist())
+
+
+def _parities(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One edit changes two parities at most, so half of the bits in which two texts differ is never more than their
+    edit distance."""
+    bits = np.zeros(len(words) * BIT_WORDS, U64)
+    slot = (hashes % U64(64 * BIT_WORDS)).astype(np.int64)
+    np.bitwise_xor.at(bits, np.repeat(np.arange(len(words)), words) * BIT_WORDS + slot // 64, U64(1) << (slot % 64).astype(U64))
+    return bits.reshape(-1, BIT_WORDS)
 
 
 def _shingles(h: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,35 +125,50 @@ def _labelled(grams: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fill(keys: np.ndarray, grams: np.ndarray, text_of: np.ndarray, row_seeds: np.ndarray, minima: int) -> None:
-    count = np.bincount(text_of, minlength=len(keys))
+def _least(x: np.ndarray, text_of: np.ndarray, count: np.ndarray, begin: np.ndarray, limits: np.ndarray, minima: int) -> np.ndarray:
+    """Places of the least values of each text that has any, in text order; -1, first, where it has fewer."""
+    have, need = np.flatnonzero(count), np.minimum(count, minima)
+    under = np.flatnonzero(x <= limits)
+    found = np.bincount(text_of[under], minlength=len(count))
+    order = under[np.lexsort((x[under], text_of[under]))]
+    first = np.concatenate([[0], np.cumsum(found)])
+    lacking = found < need
+    chosen = np.full((len(have), minima), -1, np.int64)
+    for i in range(minima):
+        ok = (need[have] > i) & ~lacking[have]
+        chosen[ok, i] = order[first[have[ok]] + i]
+    for t in np.flatnonzero(lacking):
+        chosen[np.searchsorted(have, t), : need[t]] = begin[t] + np.argsort(x[begin[t] : begin[t + 1]], kind="stable")[: need[t]]
+    chosen.sort(axis=1)
+    return chosen
+
+
+def _keys(grams: np.ndarray, text_of: np.ndarray, texts: int, row_seeds: np.ndarray, minima: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all texts in their order, and how many each has."""
+    count = np.bincount(text_of, minlength=texts)
+    have = np.flatnonzero(count)
+    if not len(have):
+        return np.zeros(0, U64), count
     begin = np.concatenate([[0], np.cumsum(count)])
     # about _SPREAD values of each text lie under its threshold, so few have to be sorted
     share = np.minimum(1.0, _SPREAD / np.maximum(count, 1))
     limit = np.where(share < 1, share * 2.0**64, 0).astype(U64) - U64(1)
     limit[count <= _SPREAD] = U64(0xFFFFFFFFFFFFFFFF)
-    limits, need = limit[text_of], np.minimum(count, minima)
-    have = np.flatnonzero(count)
-    for r, seed in enumerate(row_seeds):
-        x = mix(grams ^ seed)
-        under = np.flatnonzero(x <= limits)
-        found = np.bincount(text_of[under], minlength=len(keys))
-        lacking = np.flatnonzero(found < need)
-        order = under[np.lexsort((x[under], text_of[under]))]
-        first = np.concatenate([[0], np.cumsum(found)])
-        key = np.full(len(have), seed, U64)
-        chosen = np.full((len(have), minima), -1, np.int64)
-        for i in range(minima):
-            ok = need[have] > i
-            ok[np.isin(have, lacking)] = False
-            chosen[ok, i] = order[first[have[ok]] + i]
-        for t in lacking:
-            own = begin[t] + np.argsort(x[begin[t] : begin[t + 1]], kind="stable")[: need[t]]
-            chosen[np.searchsorted(have, t), : need[t]] = own
-        chosen.sort(axis=1)  # text order; places that are missing come first
-        for i in range(minima):
-            key = mix(key + np.where(chosen[:, i] >= 0, grams[chosen[:, i]], U64(i)))
-        keys[have, r] = key
+    limits = limit[text_of]
+    columns, there = [], []
+    for seed in row_seeds:
+        chosen = _least(mix(grams ^ seed), text_of, count, begin, limits, minima)
+        value = np.where(chosen >= 0, grams[chosen], U64(0))
+        for i, j in combinations(range(minima), 2):
+            columns.append(mix(mix(value[:, i] + seed) + value[:, j]))
+            there.append(chosen[:, i] >= 0)
+    # a text of one shingle
+    columns.append(mix(grams[begin[have]] ^ U64(0x5851F42D4C957F2D)))
+    there.append(count[have] == 1)
+    mask = np.stack(there, axis=1)
+    sizes = np.zeros(texts, np.int64)
+    sizes[have] = mask.sum(axis=1)
+    return np.stack(columns, axis=1)[mask], sizes
 
 
 def edits_within(a: list, b: list, most: int) -> int | None:
@@ -179,153 +217,252 @@ def edits_within(a: list, b: list, most: int) -> int | None:
     return edits
 
 
+def _most(a: int, b: int, similarity: float) -> int:
+    """Edits that a link of texts of so many words may have."""
+    return int(max(a, b) * (1 - similarity) + 1e-9)
+
+
 def linked(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     """Whether two word lists are near copies; texts without words have no links."""
-    longer = max(len(a), len(b))
-    if not longer:
-        return False
-    grams = [list(zip(*(w[i:] for i in range(WORDS)))) or [tuple(w)] for w in (a, b)]
-    x, y = map(set, grams)
-    if any(2 * len(own) < len(g) for own, g in zip((x, y), grams)) and len(x & y) < LEAST_SHARED * len(x | y):
-        return False
-    return edits_within(a, b, int(longer * (1 - similarity) + 1e-9)) is not None
+    return max(len(a), len(b)) > 0 and edits_within(a, b, _most(len(a), len(b), similarity)) is not None
+
+
+def all_linked(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether each pair of integer sequences is linked. Pairs of like bands are aligned together, row by row; the few
+    whose band is very wide one by one."""
+    out = np.zeros(len(pairs), bool)
+    most = [_most(len(a), len(b), similarity) for a, b in pairs]
+    todo = []
+    for i, (a, b) in enumerate(pairs):
+        if not max(len(a), len(b)) or abs(len(a) - len(b)) > most[i]:
+            continue
+        if max(len(a), len(b)) > _WIDE:
+            out[i] = edits_within(a.tolist(), b.tolist(), most[i]) is not None
+        elif len(a) == len(b) and np.array_equal(a, b):
+            out[i] = True
+        else:
+            todo.append(i)
+    todo.sort(key=lambda i: max(map(len, pairs[i])))
+    at = 0
+    while at < len(todo):
+        n = max(map(len, pairs[todo[min(len(todo), at + 256) - 1]]))
+        size = max(1, min(256, _CELLS // (n + 1)))
+        chunk = todo[at : at + size]
+        out[chunk] = _aligned([sorted(pairs[i], key=len) for i in chunk], np.array([most[i] for i in chunk]))
+        at += size
+    return out
+
+
+def _aligned(pairs: list, most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair, the shorter sequence first, is `most` at most. A row holds the cells of
+    all pairs in the band of diagonals that the edits can reach; cells past a sequence's end never reach back."""
+    n, m = np.array([[len(x), len(y)] for x, y in pairs]).T
+    ahead = m - n
+    low = int(((most - ahead) // 2).max())
+    width = low + int((ahead + (most - ahead) // 2).max()) + 1
+    short = np.full((len(pairs), n.max()), -1, np.int32)
+    long = np.full((len(pairs), max(m.max(), n.max()) + width + low), -2, np.int32)
+    for i, (x, y) in enumerate(pairs):
+        short[i, : len(x)] = x
+        long[i, low : low + len(y)] = y
+    place = np.arange(width, dtype=np.int16)
+    cells = np.broadcast_to(np.where(place >= low, place - low, _FAR), (len(pairs), width)).astype(np.int16)
+    rest = np.abs((ahead + low)[:, None] - place).astype(np.int16)
+    out, live = n == 0, np.flatnonzero(n > 0)
+    if len(live) < len(pairs):
+        short, long, cells, rest = short[live], long[live], cells[live], rest[live]
+    for row in range(1, n.max() + 1):
+        new = cells + (long[:, row - 1 : row - 1 + width] != short[:, row - 1 : row])
+        np.minimum(new[:, :-1], cells[:, 1:] + np.int16(1), out=new[:, :-1])
+        # insertions: the least of all cells to the left, plus their distance
+        cells = np.minimum(np.minimum.accumulate(new - place, axis=1) + place, _FAR).astype(np.int16)
+        done = n[live] == row
+        if done.any():
+            at = np.flatnonzero(done)
+            out[live[at]] = cells[at, (ahead + low)[live[at]]] <= most[live[at]]
+        if done.any() or row % 8 == 0:
+            stay = ~done & ((cells + rest).min(axis=1) <= most[live])
+            if not stay.all():
+                live, short, long, cells, rest = live[stay], short[stay], long[stay], cells[stay], rest[stay]
+                if not len(live):
+                    break
+    return out
 
 
 def _node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _lengths_fit(a: Column, b: Column, similarity: float) -> Column:
-    return F.least(a, b) >= similarity * F.greatest(a, b)
+def _may_link(similarity: float) -> Column:
+    """What every linked pair fulfils, from lengths n and parities of both."""
+    most = F.floor(F.greatest("n_a", "n_b") * (1 - similarity) + 1e-9)
+    apart = F.abs(F.col("n_a") - F.col("n_b"))
+    different = lambda words: sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in words), F.lit(0))
+    # a part of the parities tells most pairs apart
+    return (apart <= most) & (different(range(4)) + apart <= 2 * most) & (different(range(BIT_WORDS)) + apart <= 2 * most)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the similarity."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _aligned_pairs(pairs: DataFrame, sides: DataFrame, codes, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are linked by the integers that `codes` gives for column x of sides (nid, x)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def align(batches):
-        words: dict[bytes, list] = {}
         for batch in batches:
-            keep = []
-            a, b, at, bt = (batch.column(x) for x in ("a", "b", "at", "bt"))
-            for i in range(batch.num_rows):
-                both = []
-                for ids, own in ((a, at), (b, bt)):
-                    key = ids[i].as_py()
-                    if key not in words:
-                        if len(words) >= 64:
-                            words.clear()
-                        words[key] = own[i].as_py().split()
-                    both.append(words[key])
-                keep.append(linked(*both, similarity))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], schema=schema)
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("at"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("bt"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(lean(align), "a binary, b binary")
-
-
-def _bit_sketches(texts: DataFrame) -> DataFrame:
-    """node and bits (longs) of every text: the parities of its words' counts in 64 * BIT_WORDS slots. One edit changes
-    two bits at most, so half of the bits in which two texts differ is never more than their edit distance."""
-    schema = pa.schema([("node", pa.binary()), ("bits", pa.list_(pa.int64()))])
-    slots = 64 * BIT_WORDS
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            bits = np.zeros((batch.num_rows, BIT_WORDS), U64)
-            for first, _, part, off in pieces_of(data, offsets):
-                starts, ends, begin = word_bounds(part, off)
-                slot = (word_hashes(part, starts, ends) % U64(slots)).astype(np.int64)
-                own, times = np.unique(np.repeat(np.arange(len(begin) - 1), np.diff(begin)) * slots + slot, return_counts=True)
-                own = own[times % 2 == 1]
-                np.bitwise_or.at(bits, (first + own // slots, own % slots // 64), U64(1) << (own % 64).astype(U64))
-            lists = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, BIT_WORDS, dtype=np.int32), pa.array(bits.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], schema=schema)
-
-    return texts.select("node", "text").mapInArrow(lean(run), "node binary, bits array<long>")
-
-
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, minima: int = MINIMA, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n_words) of every row, and (node, component) of every node with a link."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), _node(docs[text_col]).alias("node"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))])
+            sizes = np.cumsum(pc.add(pc.binary_length(batch.column("ax")), pc.binary_length(batch.column("bx"))).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < batch.num_rows:
+                end = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + _BYTES, "right")))
+                part = batch.slice(first, end - first)
+                own = codes(part.column("ax").to_pylist(), part.column("bx").to_pylist())
+                mask = pa.array(all_linked(own, similarity), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], schema=schema)
+                first = end
+
+    left, right = (sides.select(F.col("nid").alias(x), F.col("x").alias(f"{x}x")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ax", "bx").mapInArrow(lean(align), "a long, b long")
+
+
+def _letters(a: list[bytes], b: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(a, b, strict=True)]
+
+
+def _words(a: list[bytes], b: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    numbers: dict[bytes, int] = {}
+    number = lambda text: np.array([numbers.setdefault(w, len(numbers)) for w in text.split()], np.int32)
+    return [(number(x), number(y)) for x, y in zip(a, b, strict=True)]
+
+
+def _verified(work: Workspace, pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of a written table whose alignment reaches the similarity. They are aligned by one letter a word
+    first, which can only make texts more alike, so that few whole texts move in vain."""
+    alike = work.written(_aligned_pairs(pairs, sketched.select("nid", F.col("letters").alias("x")), _letters, similarity))
+    ids = work.written(alike.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
+    texts = sketched.select("nid", F.col("text").alias("x")).join(small(ids, BROADCAST_NODES), "nid", "left_semi")
+    return work.written(_aligned_pairs(alike, texts, _words, similarity))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, first_id (least id), rows, and again (whether an id may repeat) of every distinct text."""
+    own = docs.select(docs[id_col].cast("long").alias("id"), _node(docs[text_col]).alias("node")).groupBy("node", "id").agg(F.count("*").alias("n"))
+    return own.groupBy("node").agg(F.min("id").alias("first_id"), F.sum("n").alias("rows"), (F.max("n") > 1).alias("again"))
+
+
+def _sketched(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, rows: int, minima: int) -> DataFrame:
+    """node, n (words), keys, bits, letters and text of one row for each distinct text; of a text whose first row repeats, one for
+    each task that reads it, which link like copies."""
+    plain = docs.select(docs[id_col].cast("long").alias("id"), _node(docs[text_col]).alias("node"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("text"))
+    several = small(groups.where("rows > 1").select("node", "first_id", "again"), BROADCAST_NODES)
+    firsts = plain.join(several, "node", "left").where(F.col("again").isNull() | F.col("id").eqNullSafe(F.col("first_id"))).select("node", "again", "text")
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("keys", longs), ("bits", longs), ("letters", pa.binary()), ("text", pa.binary())])
 
     def sketch(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            n, keys = sketches(batch.column("text"), WORDS, rows, minima)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(n) * rows + 1, rows, dtype=np.int32), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(n), lists], schema=schema)
-
-    table = written(base.mapInArrow(lean(sketch), "doc_id long, node binary, n_words long, keys array<long>"))
-    nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n"), F.first("keys").alias("keys")))
-    rows_of = nodes.where("n > 0").select("node", "n", F.explode("keys").alias("key"))
-    rows_of = rows_of.withColumn("u", F.xxhash64("node", "key"))
-    buckets = rows_of.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("u", "node", "n")).alias("pivot")).where("size > 1")
-    members = written(rows_of.join(buckets, "key"))
-    taking_part = members.select("node").distinct().join(nodes.select("node", "first_id"), "node")
-    texts = base.join(taking_part, (base["node"] == taking_part["node"]) & base["doc_id"].eqNullSafe(taking_part["first_id"])).select(base["node"], base["text"])
-    texts = written(texts.dropDuplicates(["node"]))
-    pairs = members.where((F.col("node") != F.col("pivot.node")) & _lengths_fit(F.col("n"), F.col("pivot.n"), similarity)).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
-    labels = written(components(written(_verified(pairs, texts, similarity))))
-    pivots, bits = 1, None
-    largest = members.agg(F.max("size")).first()[0] or 0
-    pool, old_path = members.where(F.col("u") > F.col("pivot.u")).select("key", "size", "node", "n", "u"), None
+            if batch.column("again").true_count:
+                keep = []
+                for node, again in zip(batch.column("node").to_pylist(), batch.column("again").to_pylist(), strict=True):
+                    keep.append(not again or node not in seen)
+                    if again:
+                        seen.add(node)
+                batch = batch.filter(pa.array(keep, pa.bool_()))
+            s = Sketches(batch.column("text"), WORDS, rows, minima)
+            keys = pa.ListArray.from_arrays(s.offsets.astype(np.int32), pa.array(s.keys))
+            bits = pa.ListArray.from_arrays(np.arange(0, s.bits.size + 1, BIT_WORDS, dtype=np.int32), pa.array(s.bits.reshape(-1)))
+            ends = np.concatenate([[0], np.cumsum(s.words)]).astype(np.int32)
+            letters = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(s.letters.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(s.words), keys, bits, letters, batch.column("text")], schema=schema)
+
+    out = firsts.mapInArrow(lean(sketch), "node binary, n long, keys array<long>, bits array<long>, letters binary, text binary")
+    # numbers are settled when the table is written: a task that runs again writes all of its rows again
+    return out.withColumn("nid", F.monotonically_increasing_id())
+
+
+def _merged(work: Workspace, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(nid, component) after more links."""
+    a, b = (labels.select(F.col("nid").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = work.written(components(between, work)).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(labels, "nid", "left_anti").select("nid", F.col("nid").alias("old"))
+    old = labels.select("nid", F.col("component").alias("old")).union(fresh)
+    return work.written(old.join(new, "old", "left").select("nid", F.coalesce("new", "old").alias("component")))
+
+
+def _labels(work: Workspace, sketched: DataFrame, similarity: float) -> DataFrame:
+    """(nid, component) of every node with a link."""
+    keyed = sketched.where("n > 0").select("nid", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("nid").alias("pivot")).where("size > 1")
+    members = work.written(keyed.join(buckets, "key"))
+    facts = sketched.select("nid", "n", "bits")
+    side = lambda x: facts.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    met = members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
+    pairs = work.written(met.join(side("a"), "a").join(side("b"), "b").where(_may_link(similarity)).select("a", "b"))
+    labels = work.written(components(_verified(work, pairs, sketched, similarity), work).withColumnRenamed("node", "nid"))
+    pivots, largest = 1, members.agg(F.max("size")).first()[0] or 0
+    # a scramble of the number as a fraction times the bucket's size is about a member's rank; the first pivot has had
+    # its turn
+    rank = F.floor((F.xxhash64("nid") / F.lit(2.0**64) + 0.5) * F.col("size"))
+    pool = members.where("size > 2 AND nid <> pivot").select("key", "size", "nid", rank.alias("rank"))
     while pivots < largest:
         # from round to round only buckets go on that held several components
-        own = pool.where(F.col("size") > max(2, pivots)).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        own = pool.where(F.col("size") > pivots).join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
         mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        path = shared_dir(spark)
-        rest = written(own.join(mixed, "key").select(*pool.columns, "component"), path)
-        if old_path:
-            delete_dir(spark, old_path)
-        pool, old_path = rest.drop("component"), path
+        rest = work.written(own.join(mixed, "key"))
+        pool = rest.drop("component")
         if rest.isEmpty():
             break
-        if bits is None:
-            bits = written(_bit_sketches(texts.join(rest.select("node").distinct(), "node", "left_semi")))
-        rest = rest.join(bits, "node")
-        # the hash as a fraction times the bucket's size is about a member's rank
-        rank = (F.col("u") / F.lit(2.0**64) + 0.5) * F.col("size")
-        chosen = rest.where((rank >= (0 if pivots == 1 else pivots)) & (rank < pivots * PIVOT_GROWTH))
-        p = chosen.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "u", "component", "bits")])
-        different = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(BIT_WORDS)), F.lit(0))
-        most = F.floor(F.greatest("p_n", "n") * (1 - similarity) + 1e-9)
-        fits = (different + F.abs(F.col("p_n") - F.col("n")) <= 2 * most) & (F.col("p_u") < F.col("u")) & (F.col("p_component") != F.col("component")) & _lengths_fit(F.col("p_n"), F.col("n"), similarity)
-        pairs = rest.join(p, "key").where(fits).select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
-        links = written(_verified(pairs, texts, similarity))
+        rest = rest.join(facts, "nid")
+        chosen = rest.where((F.col("rank") >= (0 if pivots == 1 else pivots)) & (F.col("rank") < pivots * PIVOT_GROWTH))
+        p = chosen.select("key", F.col("nid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("component").alias("c_a"), F.col("rank").alias("rank_a"))
+        b = rest.select("key", F.col("nid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("component").alias("c_b"), F.col("rank").alias("rank_b"))
+        before = F.struct("rank_a", "a") < F.struct("rank_b", "b")
+        met = b.join(p, "key").where(before & (F.col("c_a") != F.col("c_b")) & _may_link(similarity))
+        pairs = work.written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = _verified(work, pairs, sketched, similarity)
         if not links.isEmpty():
-            a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-            between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            joined = written(components(between))
-            old = labels.select("node", F.col("component").alias("old")).union(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("old")))
-            new = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
-            labels = written(old.join(new, "old", "left").select("node", F.coalesce("new", "old").alias("component")))
+            labels = _merged(work, labels, links)
         pivots *= PIVOT_GROWTH
-    return table.select("doc_id", "node", "n_words"), labels
+    return labels
+
+
+def near_classes(work: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, minima: int = MINIMA, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each distinct text: node, first_id, rows, again, n_words, class_id (least id), class_size and head,
+    whether its row stays for the class."""
+    groups = work.written(_groups(docs, id_col, text_col))
+    sketched = work.written(_sketched(docs, groups, id_col, text_col, rows, minima))
+    labels = _labels(work, sketched, similarity)
+    sizes = sketched.groupBy("node").agg(F.min("nid").alias("nid"), F.first("n").alias("n_words"))
+    linked_nodes = work.written(labels.join(sketched.select("nid", "node"), "nid").groupBy("node").agg(F.min("component").alias("component")).join(groups, "node"))
+    order = F.struct(F.col("first_id").isNull().alias("null"), F.col("first_id"), F.col("node"))
+    classes = work.written(linked_nodes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"), F.min(order).alias("best")))
+    # written tables on both sides, so that the join may split the component of a large class
+    named = work.written(linked_nodes.join(small(classes, BROADCAST_NODES), "component").select("node", "class_id", "class_size", (F.col("best.node") == F.col("node")).alias("head")))
+    every = groups.join(sizes.drop("nid"), "node").join(named, "node", "left")
+    alone = F.col("head").isNull()
+    return every.select("node", "first_id", "rows", "again", "n_words", F.when(alone, F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", "rows").alias("class_size"), F.coalesce("head", F.lit(True)).alias("head"))
 
 
 def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size, kept, n_words of every row."""
-    table, labels = near_classes(docs, id_col, text_col, **parameters)
-    full = table.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = full.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return full.join(classes, "component").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words")
+    with Workspace(docs.sparkSession) as work:
+        classes = work.kept(near_classes(work, docs, id_col, text_col, **parameters).select("node", "class_id", "class_size", "n_words"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _node(docs[text_col]).alias("node"))
+    return rows.join(classes, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """docs with one row of each class: of its least id; rows with equal texts count as one."""
-    table, labels = near_classes(docs, id_col, text_col, **parameters)
-    nodes = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    linked = labels.join(nodes, "node").select("node", "component", F.struct(F.col("least").isNull().alias("null"), F.col("least"), F.col("node")).alias("order"))
-    first = linked.groupBy("component").agg(F.min("order").alias("first"))
-    gone = written(linked.join(first, "component").where("order <> first").select("node"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
-    keyed = docs.withColumn("__node", _node(docs[text_col]))
-    out = keyed.join(gone.withColumnRenamed("node", "__node"), "__node", "left_anti")
-    if not nodes.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["__node"])
-    return out.select(*docs.columns)
+    """docs with one row of each class: that of its least id; rows with equal texts count as one."""
+    with Workspace(docs.sparkSession) as work:
+        classes = work.written(near_classes(work, docs, id_col, text_col, **parameters))
+        # most texts stay and stand alone, so only the others are joined
+        odd = work.kept(classes.where("NOT head OR rows > 1").select("node", "first_id", "again", "head"))
+        again = not odd.where("again AND head").isEmpty()
+    record = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(record.alias("record"), docs[id_col].cast("long").alias("id"), _node(docs[text_col]).alias("node"))
+    left = rows.join(small(odd, BROADCAST_NODES), "node", "left").where(F.col("head").isNull() | (F.col("head") & F.col("id").eqNullSafe(F.col("first_id"))))
+    columns = [F.col("record")[c].alias(c) for c in docs.columns]
+    if not again:
+        return left.select(*columns)
+    repeats = F.coalesce("again", F.lit(False))
+    least = left.where(repeats).groupBy("node").agg(F.min_by("record", F.to_json("record")).alias("record"))
+    return left.where(~repeats).select(*columns).union(least.select(*columns))
