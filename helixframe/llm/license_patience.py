@@ -1,17 +1,25 @@
 """Licence scans by patience alignment.
 
 A template is found in a text by anchoring on words that are unique in both, taking the longest increasing
-subsequence of the anchors, and aligning the gaps between them in the same way; small gaps without unique words are
-aligned exactly. Coverage is the share of the template's words that are aligned. Texts are scanned whole, in windows of
-twice the template's length that overlap by half, so any place a template can stand in lies in a window; windows (and
-texts) with too few of the template's rarer words for the least coverage are passed over, which loses nothing, as
-each aligned word must occur. Of overlapping finds that with more aligned words stays.
-
-Null and empty texts have no finds. Each row is scanned on its own, so repeated rows, ties and hot sources need no
-care; the number of windows follows a text's length. Spans are code points of the original text, end exclusive."""
+subsequence of the anchors, and aligning the gaps between them in the same way; gaps without unique words are aligned
+exactly, whatever their size, by a bit-parallel longest common subsequence. Coverage is the share of the template's words
+that are aligned.
+
+A text is scanned whole, from left to right, for each template. From a place on, windows of three template lengths at
+steps of one are taken, so aligned words that stand within two lengths of each other lie in one window. In a window the
+earliest end and then the latest start are sought between which a common subsequence reaches the least coverage; the
+words around, as many as the template may still lack, join them for the patience alignment. The scan goes on behind the last
+aligned word, so copies in a row are found one by one. Windows (and texts) with too few of the template's rarer words
+for the least coverage are passed over, which loses nothing, as each aligned word must occur. Of overlapping finds of
+several templates that with more aligned words stays.
+
+Null and empty texts have no finds, nor do templates without words. Ties between templates go to the earlier find, then
+to the name. Each row is scanned on its own, so repeated rows, hot sources and other columns need no care; the work follows
+a text's length. An empty table gives an empty result. Spans are code points of the original text, end exclusive."""
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -23,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import lean
 
 LEAST_COVERAGE = 0.8
-GAP_CELLS = 10_000
+#: Template lengths that a window holds, and steps between windows.
+WINDOW, STEP = 3, 1
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _WORD_BYTES = re.compile(rb"[a-z0-9]+")
 #: Words that don't count as rare when windows are passed over.
@@ -36,6 +45,10 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "GPL-3.0": "licensed under the GNU General Public License, version 3",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
@@ -65,7 +78,7 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             out.extend(anchors)
             edges = [(i - 1, j - 1), *anchors, (i_end, j_end)]
             todo.extend((p[0] + 1, q[0], p[1] + 1, q[1]) for p, q in zip(edges, edges[1:]))
-        elif (i_end - i) * (j_end - j) <= GAP_CELLS:
+        else:
             out.extend((i + x, j + y) for x, y in _longest_common(a[i:i_end], b[j:j_end]))
     return sorted(out)
 
@@ -90,30 +103,60 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _bits(words: list[str]) -> dict[str, int]:
+    """For each word the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
 def _longest_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in reversed(range(len(a))):
-        for j in reversed(range(len(b))):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    """Places of one longest common subsequence. Row j holds, as zero bits, where the common length of a's beginnings
+    with b's first j words grows; a row takes len(a) bits."""
+    full, where = (1 << len(a)) - 1, _bits(a)
+    rows = [full]
+    for w in b:
+        v = rows[-1]
+        u = v & where.get(w, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    common = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()
+    out, i, j = [], len(a), len(b)
+    k = common(i, j)
+    while k:
+        if common(i, j - 1) == k:
+            j -= 1
+        elif common(i - 1, j) == k:
+            i -= 1
         else:
-            j += 1
-    return out
+            i, j, k = i - 1, j - 1, k - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _first_end(words: list[str], where: dict[str, int], size: int, need: int) -> int | None:
+    """How many of the words it takes, at least, until a common subsequence with a template has `need` words."""
+    full = v = (1 << size) - 1
+    for k, w in enumerate(words, 1):
+        u = v & where.get(w, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+            if size - v.bit_count() >= need:
+                return k
+    return None
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float) -> None:
         self.least = least
-        self.words = {n: [m.group().lower() for m in _WORD.finditer(t)] for n, t in templates.items()}
+        words = {n: [m.group().lower() for m in _WORD.finditer(t)] for n, t in templates.items()}
+        self.words = {n: w for n, w in words.items() if w}
         self.rare = {n: frozenset(w) - COMMON for n, w in self.words.items()}
-        # coverage takes this many aligned words, and common words of the template can't be more than it has
-        self.need = {n: max(1, int(-(-least * len(w) // 1)) - sum(x in COMMON for x in w)) for n, w in self.words.items()}
+        #: Aligned words that a find has at least.
+        self.enough = {n: max(1, math.ceil(least * len(w) - 1e-9)) for n, w in self.words.items()}
+        # of these, common words can't be more than the template has
+        self.need = {n: max(1, self.enough[n] - sum(x in COMMON for x in w)) for n, w in self.words.items()}
+        self.where = {n: (_bits(w), _bits(w[::-1])) for n, w in self.words.items()}
         # each set of words must meet every text with a find
         self.any = frozenset().union(*self.rare.values())
 
@@ -126,26 +169,47 @@ class Scanner:
             return []
         places = list(_WORD.finditer(text))
         words = [m.group().lower() for m in places]
-        finds = []
-        for name in names:
-            template, rare, need = self.words[name], self.rare[name], self.need[name]
-            size = len(template)
-            before = [0]
-            for w in words:
-                before.append(before[-1] + (w in rare))
-            for at in range(0, max(1, len(words) - size + 1), size) if len(words) > size else [0]:
-                end = min(len(words), at + 2 * size)
-                if before[end] - before[at] < need:
-                    continue
-                pairs = patience(words[at:end], template)
-                if pairs and len(pairs) >= self.least * size:
-                    finds.append((len(pairs), name, at + pairs[0][0], at + pairs[-1][0] + 1))
+        finds = [(k, n, i, j) for n in names for k, i, j in self.finds_of(n, words)]
         finds.sort(key=lambda x: (-x[0], x[2], x[1]))
+        begins: list[int] = []
         taken: list[tuple[int, str, int, int]] = []
         for x in finds:
-            if all(x[3] <= y[2] or y[3] <= x[2] for y in taken):
-                taken.append(x)
-        return [(n, places[i].start(), places[j - 1].end(), k / len(self.words[n])) for k, n, i, j in sorted(taken, key=lambda x: x[2])]
+            at = bisect_left(begins, x[2])
+            if (at == 0 or taken[at - 1][3] <= x[2]) and (at == len(taken) or x[3] <= taken[at][2]):
+                begins.insert(at, x[2])
+                taken.insert(at, x)
+        return [(n, places[i].start(), places[j - 1].end(), k / len(self.words[n])) for k, n, i, j in taken]
+
+    def finds_of(self, name: str, words: list[str]) -> list[tuple[int, int, int]]:
+        """(aligned words, start, end) of one template's finds, which don't overlap, in the order of the words."""
+        template, rare, enough = self.words[name], self.rare[name], self.enough[name]
+        size, (ahead, back) = len(template), self.where[name]
+        before = [0]
+        for w in words:
+            before.append(before[-1] + (w in rare))
+        out, at, begin = [], 0, 0  # windows from `at` on; nothing before `begin` may be taken again
+        while at < len(words):
+            stop = min(len(words), at + WINDOW * size)
+            end = _first_end(words[at:stop], ahead, size, enough) if before[stop] - before[at] >= self.need[name] else None
+            if end is None:
+                if stop == len(words):
+                    break
+                at += STEP * size
+                continue
+            end += at
+            start = end - _first_end(words[at:end][::-1], back, size, enough)
+            spare = size - enough + size // 4
+            low, high = max(begin, start - spare), min(len(words), end + spare)
+            pairs = patience(words[low:high], template)
+            if len(pairs) < enough:
+                low, pairs = start, _longest_common(words[start:end], template)
+            # loose ends: the tightest stretch with as many common words
+            k = len(pairs)
+            tail = low + _first_end(words[low : low + pairs[-1][0] + 1], ahead, size, k)
+            head = tail - _first_end(words[low:tail][::-1], back, size, k)
+            out.append((k, head, tail))
+            at = begin = tail
+        return out
 
     def _distinct(self, name: str) -> int:
         """Distinct rare words at least: the aligned rare words can repeat at most as in the template."""

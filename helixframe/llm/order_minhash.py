@@ -37,7 +37,7 @@ from .graph_cc import components
 U64 = np.uint64
 WORDS, ROWS, MINIMA, SIMILARITY = 5, 4, 6, 0.8
 #: Growth of the number of pivots from round to round.
-PIVOT_GROWTH = 32
+PIVOT_GROWTH = 64
 #: Tables of up to so many rows (at most 40 bytes each) are broadcast, and joined by a shuffle beyond.
 BROADCAST_NODES = 200_000
 _SPREAD = 32
@@ -45,6 +45,8 @@ _SPREAD = 32
 BIT_WORDS = 16
 #: Texts of more words are aligned one by one; cells of a batch's row; a distance beyond any other.
 _WIDE, _CELLS, _FAR = 3000, 200_000, np.int16(16_000)
+#: Edits that most near copies have at most.
+_NARROW = 12
 #: Bytes of texts that are taken into Python objects at a time.
 _BYTES = 8 << 20
 
@@ -227,29 +229,49 @@ def linked(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     return max(len(a), len(b)) > 0 and edits_within(a, b, _most(len(a), len(b), similarity)) is not None
 
 
+def _inner(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without the beginning and the end that they share, the shorter one first."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    i = int(other[0]) if len(other) else n
+    other = np.flatnonzero(a[len(a) - n + i :][::-1] != b[len(b) - n + i :][::-1])
+    j = int(other[0]) if len(other) else n - i
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    return (a, b) if len(a) <= len(b) else (b, a)
+
+
 def all_linked(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> np.ndarray:
-    """Whether each pair of integer sequences is linked. Pairs of like bands are aligned together, row by row; the few
-    whose band is very wide one by one."""
+    """Whether each pair of integer sequences is linked. Pairs of like lengths are aligned together, row by row, in the band
+    of a few edits first and then of all that a link may have; the few whose band is very wide one by one."""
     out = np.zeros(len(pairs), bool)
-    most = [_most(len(a), len(b), similarity) for a, b in pairs]
-    todo = []
+    most = np.array([_most(len(a), len(b), similarity) for a, b in pairs], np.int64)
+    inner, todo = {}, []
     for i, (a, b) in enumerate(pairs):
         if not max(len(a), len(b)) or abs(len(a) - len(b)) > most[i]:
             continue
-        if max(len(a), len(b)) > _WIDE:
-            out[i] = edits_within(a.tolist(), b.tolist(), most[i]) is not None
-        elif len(a) == len(b) and np.array_equal(a, b):
+        inner[i] = short, long = _inner(a, b)
+        # as many edits as the longer one has words are always enough
+        if len(long) <= most[i]:
             out[i] = True
+        elif len(long) > _WIDE:
+            own = short.tolist(), long.tolist()
+            out[i] = any(edits_within(*own, min(edits, int(most[i]))) is not None for edits in (_NARROW, 20 * _NARROW, int(most[i])))
         else:
             todo.append(i)
-    todo.sort(key=lambda i: max(map(len, pairs[i])))
-    at = 0
-    while at < len(todo):
-        n = max(map(len, pairs[todo[min(len(todo), at + 256) - 1]]))
-        size = max(1, min(256, _CELLS // (n + 1)))
-        chunk = todo[at : at + size]
-        out[chunk] = _aligned([sorted(pairs[i], key=len) for i in chunk], np.array([most[i] for i in chunk]))
-        at += size
+    todo.sort(key=lambda i: len(inner[i][1]))
+    for edits in (_NARROW, 5 * _NARROW, None):
+        at, left = 0, []
+        while at < len(todo):
+            size = max(1, min(256, _CELLS // (len(inner[todo[min(len(todo), at + 256) - 1]][1]) + 1)))
+            chunk = todo[at : at + size]
+            allowed = most[chunk] if edits is None else np.minimum(most[chunk], edits)
+            fit = np.array([len(inner[i][1]) - len(inner[i][0]) for i in chunk]) <= allowed
+            own = [i for i, x in zip(chunk, fit, strict=True) if x]
+            if own:
+                out[own] = _aligned([inner[i] for i in own], allowed[fit])
+            left += [i for i, x in zip(chunk, allowed, strict=True) if not out[i] and x < most[i]]
+            at += size
+        todo = left
     return out
 
 
@@ -332,10 +354,12 @@ def _words(a: list[bytes], b: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]
     return [(number(x), number(y)) for x, y in zip(a, b, strict=True)]
 
 
-def _verified(work: Workspace, pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of a written table whose alignment reaches the similarity. They are aligned by one letter a word
-    first, which can only make texts more alike, so that few whole texts move in vain."""
-    alike = work.written(_aligned_pairs(pairs, sketched.select("nid", F.col("letters").alias("x")), _letters, similarity))
+def _verified(work: Workspace, pairs: DataFrame, sketched: DataFrame, similarity: float, by_letters: bool = True) -> DataFrame:
+    """The pairs (a, b) of a written table whose alignment reaches the similarity. by_letters: they are aligned by one letter
+    a word first, which can only make texts more alike, so that few whole texts move in vain where few pairs link."""
+    alike = pairs
+    if by_letters:
+        alike = work.written(_aligned_pairs(pairs, sketched.select("nid", F.col("letters").alias("x")), _letters, similarity))
     ids = work.written(alike.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
     texts = sketched.select("nid", F.col("text").alias("x")).join(small(ids, BROADCAST_NODES), "nid", "left_semi")
     return work.written(_aligned_pairs(alike, texts, _words, similarity))
@@ -397,7 +421,7 @@ def _labels(work: Workspace, sketched: DataFrame, similarity: float) -> DataFram
     side = lambda x: facts.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     met = members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
     pairs = work.written(met.join(side("a"), "a").join(side("b"), "b").where(_may_link(similarity)).select("a", "b"))
-    labels = work.written(components(_verified(work, pairs, sketched, similarity), work).withColumnRenamed("node", "nid"))
+    labels = work.written(components(_verified(work, pairs, sketched, similarity, False), work).withColumnRenamed("node", "nid"))
     pivots, largest = 1, members.agg(F.max("size")).first()[0] or 0
     # a scramble of the number as a fraction times the bucket's size is about a member's rank; the first pivot has had
     # its turn

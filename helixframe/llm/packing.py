@@ -2,14 +2,15 @@
 
 Documents become token ids and an end id; only those over the capacity are cut, into full pieces, with the shorter
 piece first. What remains to pack is a histogram of at most `capacity` lengths, whatever the number of rows, so the
-plan is made on the driver: longest first, gaps are filled exactly from single, pair and triple sums of lengths under
-their availability counts, each combination as often as counts allow; the residue goes best-fit. The plan is a list of
+plan is made on the driver: longest first, gaps are filled exactly from an index of single, pair and triple sums of lengths
+under their availability counts, each combination as often as counts allow; the residue goes best-fit. The plan is a list of
 patterns with multiplicities, and for each length of runs (rank from, first sequence, offset). Pieces get their rank
 among equal lengths from the task that made them and the counts of the tasks before, so no length is gathered
 in one task.
 
-A null or empty text is the end id alone. Repeated rows are packed like others. An empty table gives an empty result.
-Texts may be of any length. Token ids come from the vocabulary file (a parameter); when its merges are in rank order
+A null or empty text is the end id alone, null ids stay null. Repeated rows are packed like others, and ties of equal
+lengths go by task and place there; other columns are left out. An empty table gives an empty result. Texts may be of any
+length. Token ids come from the vocabulary file (a parameter); when its merges are in rank order
 the faster encoder over the same ranks is used, and texts that hold a special token go to the file's own tokenizer."""
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, pieces_of, text_buffer, written
+from .common import Workspace, lean, pieces_of, text_buffer
 
 CAPACITY = 2048
+#: Ranks are broadcast up to so many rows of (task, length, first rank), of 24 bytes each, and joined by a shuffle beyond.
+BROADCAST_RANKS = 500_000
 # Fixed value: the public pre-tokenisation pattern of this byte-level vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -54,7 +57,7 @@ class Encoder:
         if self.fast is not None and not any(x in text for x in self.special):
             try:
                 return np.asarray(self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()), np.uint32)
-            except Exception:  # its regex engine gives up on extreme runs of spaces; the other one doesn't
+            except ValueError:  # its regex engine gives up on extreme runs of spaces; the other one doesn't
                 pass
         if self.slow is None:
             from tokenizers import Tokenizer
@@ -120,34 +123,80 @@ class Plan:
     sequences: int
 
 
+class Complements:
+    """Index of single, pair and triple sums of the available lengths, by sum.
+
+    Counts only ever fall while exact fills are taken, so a combination that isn't available never comes back: the pairs
+    of a sum are a list that is passed once, from the most even pair to the most uneven, and the triples of a sum are
+    its largest members, each with the index entry of the rest, passed once likewise."""
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left = left
+        self._pair: dict[int, int] = {}
+        self._triple: dict[int, int] = {}
+
+    def fill(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to the gap, the largest first."""
+        if gap == 0:
+            return ()
+        return (gap,) if self.left[gap] else self.pair(gap) or self.triple(gap)
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        low = self._pair.get(total, total // 2)
+        while low > 0 and not (self.left[low] and self.left[total - low] and (2 * low != total or self.left[low] > 1)):
+            low -= 1
+        self._pair[total] = low
+        return (total - low, low) if low > 0 else None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        top = self._triple.get(total, total - 2)
+        found = None
+        while top > 0 and found is None:
+            found = self._pair_beside(total - top, top) if self.left[top] else None
+            top -= found is None
+        self._triple[total] = top
+        return (top, *found) if found else None
+
+    def _pair_beside(self, total: int, other: int) -> tuple[int, int] | None:
+        """The first pair of a sum that is available together with another length."""
+        first = self.pair(total)
+        for low in range(first[1] if first else 0, 0, -1):
+            items = (total - low, low, other)
+            if all(self.left[x] >= items.count(x) for x in items):
+                return items[:2]
+        return None
+
+
 def patterns_of(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Multisets of lengths with how many sequences hold them; together they use the histogram up."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
+    left = left.tolist()
     out: list[tuple[tuple[int, ...], int]] = []
 
     def take(items: tuple[int, ...]) -> None:
         need = defaultdict(int)
         for x in items:
             need[x] += 1
-        times = min(int(left[x]) // k for x, k in need.items())
+        times = min(left[x] // k for x, k in need.items())
         for x, k in need.items():
             left[x] -= k * times
         out.append((items, times))
 
+    index = Complements(left)
     open_by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     for longest in range(capacity, 0, -1):
         while left[longest]:
             left[longest] -= 1
-            found = _exact_fill(left, capacity - longest)
+            found = index.fill(capacity - longest)
             left[longest] += 1
             if found is None:
                 break
             take((longest, *found))
     # best fit of the residue, longest first, a whole run of equal lengths at a time
     for length in range(capacity, 0, -1):
-        n = int(left[length])
+        n = left[length]
         while n:
             gap = next((g for g in range(length, capacity + 1) if open_by_gap[g]), None)
             if gap is None:
@@ -168,35 +217,6 @@ def patterns_of(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return out + [x for runs in open_by_gap.values() for x in runs]
 
 
-def _exact_fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to the gap, the largest first."""
-    if gap == 0:
-        return ()
-    if left[gap]:
-        return (gap,)
-    pair = _pair(left, gap)
-    if pair:
-        return pair
-    for a in np.flatnonzero(left[: gap - 1])[::-1]:
-        left[a] -= 1
-        rest = _pair(left, gap - int(a))
-        left[a] += 1
-        if rest:
-            return (int(a), *rest)
-    return None
-
-
-def _pair(left: np.ndarray, total: int) -> tuple[int, int] | None:
-    if total < 2:
-        return None
-    low = np.arange(1, total // 2 + 1)
-    fits = (left[low] > 0) & (left[total - low] > 0)
-    if total % 2 == 0:
-        fits[-1] = left[total // 2] > 1
-    at = np.flatnonzero(fits)
-    return (total - int(low[at[0]]), int(low[at[0]])) if len(at) else None
-
-
 def plan_of(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     used: dict[int, int] = defaultdict(int)
@@ -214,10 +234,11 @@ def plan_of(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """Pieces with sequence_id and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    table = written(pieces(docs, vocabulary, capacity, end_id, keep_ids))
+    work = Workspace(docs.sparkSession)
+    table = work.kept(pieces(docs, vocabulary, capacity, end_id, keep_ids))
     counts = table.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = written(counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    firsts = work.kept(counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in firsts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = plan_of(histogram, capacity)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
@@ -235,5 +256,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
                 offset[rows] = plan.offset[int(x)][run]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    ranked = table.join(firsts.select("task", "length", "first"), ["task", "length"]).withColumn("global", F.col("first") + F.col("rank"))
+    few = firsts.count() <= BROADCAST_RANKS
+    firsts = firsts.select("task", "length", "first")
+    ranked = table.join(F.broadcast(firsts) if few else firsts.hint("merge"), ["task", "length"]).withColumn("global", F.col("first") + F.col("rank"))
     return ranked.select(*names, "global").mapInArrow(lean(place), sql)

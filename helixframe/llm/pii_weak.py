@@ -10,7 +10,8 @@ and that no base span overlaps are added, as kind `secret`. All counts come from
 
 Positions come from the pieces between matches, so no row leaves the JVM. Quantifiers over groups are possessive, which
 gives the same matches and neither recursion nor quadratic time on very long texts. Null and empty texts have no spans.
-Rows are handled each on its own, so repeated rows and hot sources need no care. An empty table, or one without
+Rows are handled each on its own, so repeated rows and hot sources need no care; null ids stay null. Spans with equal starts
+are ordered by kind. Columns besides the id and the text are left out, so none can clash. An empty table, or one without
 candidates, gives no added spans."""
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "secret"
@@ -216,7 +217,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     placed = F.when(F.col("text").rlike("[0-9]"), _placed(F.col("text"), CANDIDATE))
     every = based.select("doc_id", *rest, *KINDS, F.concat(*KINDS).alias("base"), placed.alias("found"))
     judged = _once(F.col("base"), lambda base: F.transform(F.coalesce("found", F.array().cast(_PLACED)), lambda x: _judged(x, base)))
-    table = written(every.select("doc_id", *rest, *KINDS, judged.alias("candidates")))
+    table = Workspace(docs.sparkSession).kept(every.select("doc_id", *rest, *KINDS, judged.alias("candidates")))
     counted = table.select(F.explode("candidates").alias("c")).groupBy("c.votes", "c.features").count()
     rows = [(tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in counted.collect()]  # bounded: patterns, not candidates
     patterns: dict[tuple[int, ...], int] = defaultdict(int)
@@ -242,10 +243,10 @@ def _joined(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret and n_spans (of all kinds) of every row."""
     found = detected(docs)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.concat(*KINDS)), 256).alias("base_sha256"), _joined(F.concat(*KINDS, ADDED)).alias("spans"), F.size(ADDED).cast("long").alias("n_secret"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.concat(*KINDS)), 256).alias("base_sha256"), _joined(F.concat(*KINDS, ADDED)).alias("spans"), F.size(ADDED).cast("long").alias("n_secret"), (sum((F.size(k) for k in KINDS), F.size(ADDED))).cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

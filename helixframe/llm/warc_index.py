@@ -3,16 +3,20 @@
 Writing: each task writes records as gzip members into archive files of bounded size in the shared folder and gives
 a capture row for each (key, file, offset, length). Of records with equal payloads of at least `LEAST_REVISIT` bytes the
 one with the largest page id is the response, the others are revisits of it; owners come from a partial aggregation
-by digest and a join, so a third of all pages may be the same. Capture rows become a table first: a task that runs
+by digest of ids only, and are few enough to be broadcast (their number is checked) or joined by a shuffle that splits hot
+digests, so a third of all pages may be the same. Capture rows become a table first: a task that runs
 again writes another file, and only files that the table names are ever read.
 
 Index: captures sorted by their key (reversed host, path, then page id) are cut into blocks of `BLOCK_LINES` lines,
 each block a gzip member; the sparse directory keeps a block's first and last key, file, offset and length. Lookup: a
-sample of the directory (its root, bounded) is binary-searched for the directory segment, the segment's rows are
-joined, the block is range-read and binary-searched, and the record itself is range-read and checked.
+sample of the directory (its root, bounded) is binary-searched for the directory segment; keys and directory rows of
+a segment meet in one task in order, which holds the segment's rows and binary-searches them for each key; the block is
+range-read and binary-searched, and the record itself is range-read and checked.
 
 Null html is an empty payload, null urls have an empty host. Repeated rows give a record each (page ids needn't be
-unique; equal ids and payloads beyond the first count as responses too). An empty table gives an empty result."""
+unique; equal ids and payloads beyond the first count as responses too). Very long pages are records like others. Control
+characters of a URL are escaped in its key. Columns besides page_id, url and html are left out, so none can clash. An empty
+table gives an empty result."""
 
 from __future__ import annotations
 
@@ -30,9 +34,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, shared_dir, written
+from .common import lean, shared_dir, small, written
 
 LEAST_REVISIT, BLOCK_LINES, FILE_BYTES, ROOT_ROWS = 1000, 1000, 256 << 20, 20_000
+#: Owners are broadcast up to so many rows (28 bytes each), and joined by a shuffle beyond.
+BROADCAST_OWNERS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 _CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029]")
 _DEFAULT_PORT = {"http": "80", "https": "443"}
@@ -129,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= LEAST_REVISIT
     owners = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    marked = rows.join(owners, "digest", "left")
+    marked = rows.join(small(written(owners, f"{folder}/owners"), BROADCAST_OWNERS), "digest", "left")
 
     def write(batches):
         out: _File | None = None
@@ -201,21 +207,41 @@ def lookup(keys: DataFrame, directory: DataFrame) -> DataFrame:
     root = sorted({r["first"] for r in firsts.collect()})
 
     def segments(batches):
+        """Each key under its segment, and each block under every segment that it reaches into; blocks come first."""
         for batch in batches:
-            own = [bisect_right(root, k) for k in batch.column("key").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(own, pa.int64())], names=["key", "segment"])
-
-    def spread(batches):
-        """Each block under every segment that it reaches into."""
+            at, own, kind = [], [], []
+            for i, (key, last) in enumerate(zip(batch.column("key").to_pylist(), batch.column("last").to_pylist(), strict=True)):
+                first = bisect_right(root, key)
+                for segment in range(first, first + 1 if last is None else bisect_right(root, last) + 1):
+                    at.append(i)
+                    own.append(segment)
+                    kind.append(int(last is None))
+            columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(kind, pa.int32()), *columns], names=["segment", "kind", *batch.schema.names])
+
+    def bisected(batches):
+        segment, firsts, blocks = None, [], []
         for batch in batches:
-            rows = [(bisect_right(root, r["first"]), bisect_right(root, r["last"]), i) for i, r in enumerate(batch.to_pylist())]
-            at = [i for a, b, i in rows for _ in range(a, b + 1)]
-            own = [s for a, b, _ in rows for s in range(a, b + 1)]
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(own, pa.int64())], names=[*batch.schema.names, "segment"])
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                if r["segment"] != segment:
+                    segment, firsts, blocks = r["segment"], [], []
+                if not r["kind"]:
+                    firsts.append(r["key"])
+                    blocks.append((r["last"], r["file"], r["offset"], r["length"]))
+                    continue
+                # captures of one key may fill several blocks, of which only the first begins before it
+                at = bisect_left(firsts, r["key"])
+                at = at - 1 if at and blocks[at - 1][0] >= r["key"] else at
+                while at < len(blocks) and firsts[at] <= r["key"]:
+                    out.append((r["key"], *blocks[at][1:]))
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "offset", "length"])
 
-    wanted = keys.select("key").mapInArrow(lean(segments), "key string, segment long")
-    reach = directory.mapInArrow(lean(spread), DIRECTORY + ", segment long")
-    met = wanted.join(reach, "segment").where((F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last")))
+    reach = directory.select(F.col("first").alias("key"), "last", "file", "offset", "length")
+    wanted = keys.where("key IS NOT NULL").select("key").distinct().select("key", *[F.lit(None).cast(t).alias(c) for c, t in (("last", "string"), ("file", "string"), ("offset", "long"), ("length", "long"))])
+    dealt = reach.union(wanted).mapInArrow(lean(segments), "segment long, kind int, key string, last string, file string, offset long, length long")
+    met = dealt.repartition("segment").sortWithinPartitions("segment", "kind", "key", "last").mapInArrow(lean(bisected), _PLACES)
 
     def search(batches):
         ranges, place, lines, own_keys = Ranges(), None, [], []
@@ -233,8 +259,9 @@ def lookup(keys: DataFrame, directory: DataFrame) -> DataFrame:
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "offset", "length"])
 
-    dealt = met.select("key", "file", "offset", "length").distinct().repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
-    return dealt.mapInArrow(lean(search), _PLACES)
+    # a key is searched once in each block, whatever segments the block reaches into
+    places = met.distinct().repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    return places.mapInArrow(lean(search), _PLACES)
 
 
 RECORDS = "page_id long, url string, kind string, digest string, payload_bytes long, refers_to long, payload binary"

@@ -1,11 +1,12 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
 
-from helixframe.llm.packing import Encoder, pack, patterns_of, plan_of
+from helixframe.llm.packing import Complements, Encoder, pack, patterns_of, plan_of
 from helixframe.llm.shard_shuffle import external_shuffle, shard_report
 
 P = pytest.importorskip("public_tokenizers")
@@ -57,6 +58,35 @@ def test_exact_complements_are_used():
     assert plan_of({7: 10_000_000}, 2048).sequences == -(-10_000_000 // 292)
 
 
+def test_fills_are_found_whenever_there_are_any():
+    """Single, pair and triple sums against all combinations, while counts fall."""
+    rng = random.Random(6)
+    for _ in range(60):
+        left = [0] + [rng.choice([0, 0, 0, 1, 2]) for _ in range(24)]
+        index = Complements(left)
+        for _ in range(30):
+            gap = rng.randint(1, 24)
+            every = [c for k in (1, 2, 3) for c in combinations_with_replacement(range(1, gap + 1), k) if sum(c) == gap and all(left[x] >= c.count(x) for x in c)]
+            found = index.fill(gap)
+            assert bool(found) == bool(every), (left, gap, found, every)
+            if found:
+                assert tuple(sorted(found)) in every and len(found) == min(map(len, every))
+                for x in found:
+                    left[x] -= 1
+
+
+def test_texts_that_the_fast_encoder_gives_up_on():
+    text = " " * 2_000_000
+    assert len(Encoder(VOCABULARY).encode(text)) > 0
+
+
+def test_many_ranks_are_joined_by_a_shuffle(docs, rows, monkeypatch):
+    from helixframe.llm import packing
+
+    monkeypatch.setattr(packing, "BROADCAST_RANKS", 0)
+    checked(pack(docs, VOCABULARY).collect(), rows)
+
+
 def test_plans_use_the_histogram_up():
     rng = random.Random(1)
     for _ in range(30):
@@ -81,8 +111,9 @@ def test_empty_table(empty):
     assert pack(empty, VOCABULARY).count() == 0 and shard_report(empty).count() == 0
 
 
-def test_shards_hold_every_row_once(docs, rows):
-    out = shard_report(docs, seed=3).collect()
+@pytest.mark.parametrize("most_reducers", [4096, 2])
+def test_shards_hold_every_row_once(docs, rows, most_reducers):
+    out = shard_report(docs, seed=3, bucket_bytes=20_000, most_reducers=most_reducers).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
     slots = defaultdict(list)
@@ -100,3 +131,26 @@ def test_shuffle_is_uniform_and_keeps_columns(spark, docs):
     place = np.array([p for _, p in sorted((r["d"], r["p"]) for r in out)])
     assert sorted(place) == list(range(n))
     assert abs(np.corrcoef(np.arange(n), place)[0, 1]) < 0.06 and abs(np.mean(np.abs(np.diff(place))) / n - 1 / 3) < 0.03
+
+
+def test_places_hold_when_a_task_runs_again(spark):
+    """The same rows in another order within their tasks, as after a lost shuffle, go to the same places."""
+    from pyspark.sql import functions as F
+
+    def places(order):
+        rows = spark.range(2000).selectExpr("id % 700 AS doc_id", "concat('text ', id % 700) AS text").repartition(5, F.col("doc_id") % 5)
+        out = external_shuffle(rows.sortWithinPartitions(order), seed=2, bucket_bytes=1000)
+        return Counter((r["record"]["doc_id"], r["shard"], r["slot"]) for r in out.collect())
+
+    once = places("doc_id")
+    assert sum(once.values()) == 2000 and places(F.desc("text")) == once
+
+
+def test_buckets_follow_the_memory_not_the_input(spark):
+    table = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 100) AS text")
+    for n in (1000, 3000):
+        out = external_shuffle(table.where(f"doc_id < {n}"), seed=1, bucket_bytes=10_000)
+        assert out.count() == n
+    from helixframe.llm.shard_shuffle import LEAST_BUCKET_BYTES, default_bucket_bytes
+
+    assert default_bucket_bytes(spark) >= LEAST_BUCKET_BYTES

@@ -148,6 +148,27 @@ def test_lookup_over_many_blocks(spark, tmp_path, monkeypatch):
     assert all(r["kind"] == "revisit" or r["payload"] == (want[r["page_id"]][2] or "").encode() for r in found)
 
 
+def test_lookup_equals_a_scan_of_the_captures(spark, tmp_path, monkeypatch):
+    """Many captures of one key over several blocks, few roots, keys repeated, absent and before or past all."""
+    monkeypatch.setattr(wi, "ROOT_ROWS", 3)
+    rng = random.Random(4)
+    keys = [f"k{rng.randrange(40):03d}" for _ in range(400)] + ["k007"] * 120
+    captures = spark.createDataFrame([(k, f"f{i}", i, i + 1) for i, k in enumerate(keys)], "key string, file string, offset long, length long")
+    directory = wi.build_index(captures, f"file://{tmp_path}/i", block_lines=10)
+    asked = ["k007", "k007", "k000", "k039", "a", "z", "k0075", None] + [f"k{i:03d}" for i in range(0, 40, 3)]
+    got = Counter(tuple(r) for r in wi.lookup(spark.createDataFrame([(k,) for k in asked], "key string"), directory).collect())
+    assert got == Counter((k, f"f{i}", i, i + 1) for i, k in enumerate(keys) if k in set(asked))
+    plan = wi.lookup(captures, directory)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_many_owners_are_joined_by_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wi, "BROADCAST_OWNERS", 0)
+    rows, table = pages(spark)
+    got = wi.archive_report(spark, table, f"file://{tmp_path}/w").groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in got} == {"response": len(rows) - 39, "revisit": 39}
+
+
 def test_keys_and_empty_pages(spark, tmp_path):
     assert wi.surt("https://WWW.Example.com:443/a?z=1&b=2#x") == "com,example)/a?b=2&z=1"
     assert wi.surt("http://m.example.com:8080") == "com,example,m:8080)/"
@@ -182,6 +203,69 @@ def test_patience_is_a_common_subsequence():
         assert lp.patience(a, a) == [(i, i) for i in range(len(a))]
 
 
+def test_gaps_without_anchors_are_aligned_exactly():
+    rng = random.Random(5)
+    for n in (5, 40, 300):
+        a, b = ([rng.choice("abcd") for _ in range(n)] for _ in range(2))
+        pairs = lp._longest_common(a, b)
+        assert len(pairs) == longest_common(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def brute_finds(words, template, enough):
+    """From left to right: the earliest end, over whole windows, at which some stretch aligns well enough; then on."""
+    size, out, at = len(template), [], 0
+    while at < len(words):
+        window = words[at : at + 3 * size]
+        end = next((e for e in range(1, len(window) + 1) if longest_common(window[:e], template) >= enough), None)
+        if end is None:
+            if at + 3 * size >= len(words):
+                return out
+            at += size
+            continue
+        start = next(s for s in reversed(range(end)) if longest_common(window[s:end], template) >= enough)
+        out.append((at + start, at + end))
+        at += end
+    return out
+
+
+def test_scans_equal_brute_force_on_whole_texts():
+    """Small alphabets give templates that stand in each other and again and again; each find holds the brute force's."""
+    rng = random.Random(9)
+    total = 0
+    for _ in range(150):
+        template = [rng.choice("abcdefgh") for _ in range(rng.randint(4, 9))]
+        words: list[str] = []
+        for _ in range(rng.randint(0, 4)):
+            words += [rng.choice("xyzab") for _ in range(rng.randint(0, 12))]
+            words += [w for w in template if rng.random() < 0.93]
+        scanner = lp.Scanner({"t": " ".join(template)}, 0.8)
+        got = scanner.finds_of("t", words)
+        want = brute_finds(words, template, scanner.enough["t"])
+        total += len(got)
+        assert bool(got) == bool(want)
+        at = 0
+        for k, i, j in got:
+            assert i >= at and longest_common(words[i:j], template) >= k >= scanner.enough["t"]
+            at = j
+        # what a find takes in beyond the brute force's shorter one can't hold another whole find
+        assert not brute_finds(words[at:], template, scanner.enough["t"])
+        assert len(want) - 1 <= len(got) <= len(want)
+    assert total > 150
+
+
+@pytest.mark.parametrize("name", ["MIT-text", "GPL-notice", "Apache-2.0-notice", "BSD-3-Clause-text", "MIT"])
+def test_copies_in_a_row_are_all_found(name):
+    scanner = lp.Scanner(lp.TEMPLATES, 0.8)
+    size = len(scanner.words[name])
+    for n in range(1, 11):
+        for between in ("", "filler words here ", "x " * 37):
+            text = between.join([lp.TEMPLATES[name] + " "] * n)
+            own = [x for x in scanner.scan(text, text.encode()) if x[0] == name]
+            assert len(own) == n and all(x[3] == 1 for x in own), (n, between)
+            assert [x[2] - x[1] for x in own] == [len(lp.TEMPLATES[name].rstrip(".")) for _ in own] and size
+
+
 def test_templates_are_found_whole_anywhere(spark, docs, rows):
     rng = random.Random(2)
     filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
@@ -193,7 +277,19 @@ def test_templates_are_found_whole_anywhere(spark, docs, rows):
     assert out[0]["coverage"] == 1 and 0.85 < out[1]["coverage"] < 1 and out[3]["n_finds"] == 2
     s = out[0]["finds"][0]
     assert texts[0][s["start"] : s["end"]].startswith("Permission is hereby") and texts[0][s["start"] : s["end"]].endswith("SOFTWARE")
-    assert lp.scan_licenses(docs).count() == len(rows)
+    messy = {r["doc_id"]: r for r in lp.scan_licenses(docs).collect()}
+    assert lp.scan_licenses(docs).count() == len(rows) and not any(r["n_finds"] for r in messy.values())
+    assert lp.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_notices_in_very_long_texts(spark):
+    """One notice per thousand words of a long text, and a long template within it."""
+    rng = random.Random(12)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long = filler(1500)
+    text = f" {lp.TEMPLATES['MIT-text']} ".join(filler(1000) for _ in range(21)) + " " + long
+    found = lp.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), lp.TEMPLATES | {"long": long}).first()
+    assert [x["template"] for x in found["finds"]] == ["MIT-text"] * 20 + ["long"] and text[found["finds"][-1]["start"] :] == long
 
 
 # --- token counts ---
@@ -215,6 +311,53 @@ def test_rollup_follows_batches(spark, tmp_path):
     assert r.commit("3", spark.createDataFrame([], tr.BATCH)) and {tuple(x) for x in r.totals().collect()} == want
 
 
+def test_commits_stay_small_over_many_batches(spark, tmp_path):
+    """Compaction every three batches against a dictionary; retries of any batch, old or new, do nothing."""
+    rng, state = random.Random(3), {}
+    r = tr.TokenRollup(spark, f"file://{tmp_path}/r", buckets=4, compact_every=3)
+    for b in range(9):
+        rows = []
+        for i in rng.sample(range(12), 4):
+            op = rng.choice(["insert", "delete", "revise"])
+            rows.append((i, "v", op, rng.choice("ab"), "en", rng.randrange(50), 0))
+            if op == "delete":
+                state.pop(i, None)
+            else:
+                state[i] = rows[-1][3], rows[-1][5]
+        batch = spark.createDataFrame(rows, tr.BATCH)
+        assert r.commit(f"b{b}", batch)
+        if b in (4, 8):
+            assert not r.commit(f"b{b}", batch) and not r.commit("b0", batch)
+            want = Counter()
+            for source, tokens in state.values():
+                want[source, "docs"] += 1
+                want[source, "tokens"] += tokens
+            got = {(x["source"], k): x[k] for x in r.totals().collect() for k in ("docs", "tokens")}
+            assert +Counter(got) == +want
+            assert len(r.tail()[2]) <= 3 and len(list((tmp_path / "r/states").iterdir())) <= 4
+
+
+def test_a_batch_that_dies_before_its_log_entry_is_not_there(spark, tmp_path, monkeypatch):
+    r = tr.TokenRollup(spark, f"file://{tmp_path}/r")
+    batch = spark.createDataFrame([(1, "v", "insert", "a", "en", 10, 0)], tr.BATCH)
+    put = tr.TokenRollup._put
+
+    def dies(self, name, value):
+        if name.startswith("log/"):
+            raise OSError("lost")
+        put(self, name, value)
+
+    monkeypatch.setattr(tr.TokenRollup, "_put", dies)
+    with pytest.raises(OSError):
+        r.commit("1", batch)
+    monkeypatch.setattr(tr.TokenRollup, "_put", put)
+    assert r.totals().count() == 0 and r.commit("1", batch) and not r.commit("1", batch)
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v", 1, 10)]
+    # one that dies after it is there, marked or not
+    (Path(tmp_path) / "r" / r._id("1")).unlink()
+    assert not r.commit("1", batch)
+
+
 def test_report_equals_brute_force(docs, rows, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
