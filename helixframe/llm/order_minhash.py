@@ -9,10 +9,10 @@ components of the links. At 20 % random edits, where a fifth of the shingles are
 candidates, and nearly all at fewer edits (the recall test measures this).
 
 Equal texts are one node; only one row of each is sketched. In a bucket (equal key) all members are first held against
-one pivot; then, round by round, against many more pivots each, but only members whose components still
+one pivot; then, round by round, against four times as many pivots each, but only members whose components still
 differ. At the end every pair of a bucket was verified, is in one class, or can't be linked: lengths and the parities of the
-words' counts in 1024 slots bound a pair's edits from below, and a pair goes unverified only if that bound is beyond
-the edits that a link allows. No link depends on a bucket's size. A group of thousands of copies costs one comparison a
+words' counts in slots, of whole texts and of their beginnings and ends, bound a pair's edits from below, and a pair goes
+unverified only if that bound is beyond the edits that a link allows. No link depends on a bucket's size. A group of thousands of copies costs one comparison a
 member, a passage that many unlinked texts share one comparison of parities a pair, inside the join. No bucket is gathered
 in a task: buckets are met by joins, whose hot keys are split, and counted by partial sums.
 
@@ -37,12 +37,13 @@ from .graph_cc import components
 U64 = np.uint64
 WORDS, ROWS, MINIMA, SIMILARITY = 5, 4, 6, 0.8
 #: Growth of the number of pivots from round to round.
-PIVOT_GROWTH = 64
+PIVOT_GROWTH = 4
 #: Tables of up to so many rows (at most 40 bytes each) are broadcast, and joined by a shuffle beyond.
 BROADCAST_NODES = 200_000
 _SPREAD = 32
-#: Words of 64 parities each in a text's bits.
-BIT_WORDS = 16
+#: Words of 64 parities each of the whole text, of its beginning and of its end.
+WHOLE, ENDS = 8, 4
+BIT_WORDS = WHOLE + 2 * ENDS
 #: Texts of more words are aligned one by one; cells of a batch's row; a distance beyond any other.
 _WIDE, _CELLS, _FAR = 3000, 200_000, np.int16(16_000)
 #: Edits that most near copies have at most.
@@ -57,32 +58,43 @@ class Sketches:
     def __init__(self, column: pa.Array, k: int = WORDS, rows: int = ROWS, minima: int = MINIMA, seed: int = 3) -> None:
         data, offsets = text_buffer(column)
         row_seeds = seeds(rows, seed)
+        ends = [np.zeros(0, np.int64)]
         words, keys, sizes, bits, letters = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros((0, BIT_WORDS), U64)], [np.zeros(0, np.uint8)]
         for _, _, part, off in pieces_of(data, offsets):
-            starts, ends, first = word_bounds(part, off)
-            hashes, n = word_hashes(part, starts, ends), np.diff(first)
+            begins, stops, first = word_bounds(part, off)
+            hashes, n = word_hashes(part, begins, stops), np.diff(first)
             grams, text_of = _shingles(hashes, n, k)
             own_keys, own_sizes = _keys(_labelled(grams, text_of), text_of, len(n), row_seeds, minima)
             words.append(n)
             keys.append(own_keys)
             sizes.append(own_sizes)
-            bits.append(_parities(hashes, n))
+            own_bits, own_ends = _parities(hashes, n)
+            bits.append(own_bits)
+            ends.append(own_ends)
             letters.append((hashes >> U64(56)).astype(np.uint8))
         self.words, self.keys, self.bits = np.concatenate(words), np.concatenate(keys).view(np.int64), np.concatenate(bits).view(np.int64)
-        self.letters = np.concatenate(letters)
+        self.letters, self.ends = np.concatenate(letters), np.concatenate(ends)
         self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def of(self, i: int) -> set[int]:
         return set(self.keys[self.offsets[i] : self.offsets[i + 1]].tolist())
 
 
-def _parities(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """One edit changes two parities at most, so half of the bits in which two texts differ is never more than their
-    edit distance."""
-    bits = np.zeros(len(words) * BIT_WORDS, U64)
-    slot = (hashes % U64(64 * BIT_WORDS)).astype(np.int64)
-    np.bitwise_xor.at(bits, np.repeat(np.arange(len(words)), words) * BIT_WORDS + slot // 64, U64(1) << (slot % 64).astype(U64))
-    return bits.reshape(-1, BIT_WORDS)
+def _parities(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the counts of a text's words in slots: of all words, of the first and of the last `ends` words; and `ends`,
+    the largest power of two that is half of the words at most.
+
+    An edit changes two parities of all words at most. Of the first words it changes two as well: an insertion or
+    deletion also moves one word over the border. Edits that change the first words are others than those that change the
+    last, as these don't overlap. So no sum of differing bits, of the whole or of both ends, is more than twice the edits."""
+    bits, text_of = np.zeros(len(words) * BIT_WORDS, U64), np.repeat(np.arange(len(words)), words)
+    ends = np.where(words > 1, 1 << np.floor(np.log2(np.maximum(words // 2, 1))).astype(np.int64), 0)
+    begin = np.concatenate([[0], np.cumsum(words)])[:-1]
+    place = np.arange(len(hashes)) - begin[text_of]
+    for first, size, mask in ((0, WHOLE, slice(None)), (WHOLE, ENDS, place < ends[text_of]), (WHOLE + ENDS, ENDS, place >= (words - ends)[text_of])):
+        slot = (hashes[mask] % U64(64 * size)).astype(np.int64)
+        np.bitwise_xor.at(bits, text_of[mask] * BIT_WORDS + first + slot // 64, U64(1) << (slot % 64).astype(U64))
+    return bits.reshape(-1, BIT_WORDS), ends
 
 
 def _shingles(h: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,9 +331,9 @@ def _may_link(similarity: float) -> Column:
     """What every linked pair fulfils, from lengths n and parities of both."""
     most = F.floor(F.greatest("n_a", "n_b") * (1 - similarity) + 1e-9)
     apart = F.abs(F.col("n_a") - F.col("n_b"))
-    different = lambda words: sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in words), F.lit(0))
-    # a part of the parities tells most pairs apart
-    return (apart <= most) & (different(range(4)) + apart <= 2 * most) & (different(range(BIT_WORDS)) + apart <= 2 * most)
+    different = lambda *words: sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for r in words for i in r), F.lit(0))
+    ends = (F.col("ends_a") != F.col("ends_b")) | (different(range(WHOLE, BIT_WORDS)) <= 2 * most)
+    return (apart <= most) & (different(range(WHOLE)) + apart <= 2 * most) & ends
 
 
 def _aligned_pairs(pairs: DataFrame, sides: DataFrame, codes, similarity: float) -> DataFrame:
@@ -354,15 +366,19 @@ def _words(a: list[bytes], b: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]
     return [(number(x), number(y)) for x, y in zip(a, b, strict=True)]
 
 
-def _verified(work: Workspace, pairs: DataFrame, sketched: DataFrame, similarity: float, by_letters: bool = True) -> DataFrame:
+def _verified(work: Workspace, pairs: DataFrame, sketched: DataFrame, firsts: DataFrame, similarity: float, by_letters: bool = True) -> DataFrame:
     """The pairs (a, b) of a written table whose alignment reaches the similarity. by_letters: they are aligned by one letter
     a word first, which can only make texts more alike, so that few whole texts move in vain where few pairs link."""
     alike = pairs
     if by_letters:
         alike = work.written(_aligned_pairs(pairs, sketched.select("nid", F.col("letters").alias("x")), _letters, similarity))
-    ids = work.written(alike.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
-    texts = sketched.select("nid", F.col("text").alias("x")).join(small(ids, BROADCAST_NODES), "nid", "left_semi")
-    return work.written(_aligned_pairs(alike, texts, _words, similarity))
+    # only texts of candidates move
+    ids = alike.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    wanted = work.written(ids.join(sketched.select("nid", "node"), "nid"))
+    texts = firsts.join(small(wanted, BROADCAST_NODES), "node").select("nid", F.col("text").alias("x"), "again")
+    if not sketched.where("again").isEmpty():
+        texts = texts.dropDuplicates(["nid"])
+    return work.written(_aligned_pairs(alike, texts.drop("again"), _words, similarity))
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -371,14 +387,18 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.groupBy("node").agg(F.min("id").alias("first_id"), F.sum("n").alias("rows"), (F.max("n") > 1).alias("again"))
 
 
-def _sketched(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, rows: int, minima: int) -> DataFrame:
-    """node, n (words), keys, bits, letters and text of one row for each distinct text; of a text whose first row repeats, one for
-    each task that reads it, which link like copies."""
+def _firsts(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, again and text of the first row of each distinct text; all rows that repeat it, where it does."""
     plain = docs.select(docs[id_col].cast("long").alias("id"), _node(docs[text_col]).alias("node"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("text"))
     several = small(groups.where("rows > 1").select("node", "first_id", "again"), BROADCAST_NODES)
-    firsts = plain.join(several, "node", "left").where(F.col("again").isNull() | F.col("id").eqNullSafe(F.col("first_id"))).select("node", "again", "text")
+    return plain.join(several, "node", "left").where(F.col("again").isNull() | F.col("id").eqNullSafe(F.col("first_id"))).select("node", F.coalesce("again", F.lit(False)).alias("again"), "text")
+
+
+def _sketched(firsts: DataFrame, rows: int, minima: int) -> DataFrame:
+    """nid (a number), node, again, n (words), keys, bits, ends and letters of one row for each distinct text; of a text whose
+    first row repeats, one for each task that reads it, which link like copies."""
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("keys", longs), ("bits", longs), ("letters", pa.binary()), ("text", pa.binary())])
+    schema = pa.schema([("node", pa.binary()), ("again", pa.bool_()), ("n", pa.int64()), ("keys", longs), ("bits", longs), ("ends", pa.int64()), ("letters", pa.binary())])
 
     def sketch(batches):
         seen: set[bytes] = set()
@@ -386,18 +406,18 @@ def _sketched(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, ro
             if batch.column("again").true_count:
                 keep = []
                 for node, again in zip(batch.column("node").to_pylist(), batch.column("again").to_pylist(), strict=True):
-                    keep.append(not again or node not in seen)
+                    keep.append(not (again and node in seen))
                     if again:
                         seen.add(node)
                 batch = batch.filter(pa.array(keep, pa.bool_()))
             s = Sketches(batch.column("text"), WORDS, rows, minima)
             keys = pa.ListArray.from_arrays(s.offsets.astype(np.int32), pa.array(s.keys))
             bits = pa.ListArray.from_arrays(np.arange(0, s.bits.size + 1, BIT_WORDS, dtype=np.int32), pa.array(s.bits.reshape(-1)))
-            ends = np.concatenate([[0], np.cumsum(s.words)]).astype(np.int32)
-            letters = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(s.letters.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(s.words), keys, bits, letters, batch.column("text")], schema=schema)
+            stops = np.concatenate([[0], np.cumsum(s.words)]).astype(np.int32)
+            letters = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(s.letters.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("again"), pa.array(s.words), keys, bits, pa.array(s.ends), letters], schema=schema)
 
-    out = firsts.mapInArrow(lean(sketch), "node binary, n long, keys array<long>, bits array<long>, letters binary, text binary")
+    out = firsts.mapInArrow(lean(sketch), "node binary, again boolean, n long, keys array<long>, bits array<long>, ends long, letters binary")
     # numbers are settled when the table is written: a task that runs again writes all of its rows again
     return out.withColumn("nid", F.monotonically_increasing_id())
 
@@ -412,16 +432,16 @@ def _merged(work: Workspace, labels: DataFrame, links: DataFrame) -> DataFrame:
     return work.written(old.join(new, "old", "left").select("nid", F.coalesce("new", "old").alias("component")))
 
 
-def _labels(work: Workspace, sketched: DataFrame, similarity: float) -> DataFrame:
+def _labels(work: Workspace, sketched: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
     """(nid, component) of every node with a link."""
     keyed = sketched.where("n > 0").select("nid", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("nid").alias("pivot")).where("size > 1")
     members = work.written(keyed.join(buckets, "key"))
-    facts = sketched.select("nid", "n", "bits")
-    side = lambda x: facts.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    facts = sketched.select("nid", "n", "bits", "ends")
+    side = lambda x: facts.select(F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "ends")])
     met = members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
     pairs = work.written(met.join(side("a"), "a").join(side("b"), "b").where(_may_link(similarity)).select("a", "b"))
-    labels = work.written(components(_verified(work, pairs, sketched, similarity, False), work).withColumnRenamed("node", "nid"))
+    labels = work.written(components(_verified(work, pairs, sketched, firsts, similarity, False), work).withColumnRenamed("node", "nid"))
     pivots, largest = 1, members.agg(F.max("size")).first()[0] or 0
     # a scramble of the number as a fraction times the bucket's size is about a member's rank; the first pivot has had
     # its turn
@@ -435,14 +455,17 @@ def _labels(work: Workspace, sketched: DataFrame, similarity: float) -> DataFram
         pool = rest.drop("component")
         if rest.isEmpty():
             break
-        rest = rest.join(facts, "nid")
+        # a pair that shares several keys meets in the least of them only; a node has few keys
+        shared = rest.groupBy("nid").agg(F.collect_list("key").alias("common"))
+        rest = rest.join(facts, "nid").join(shared, "nid")
         chosen = rest.where((F.col("rank") >= (0 if pivots == 1 else pivots)) & (F.col("rank") < pivots * PIVOT_GROWTH))
-        p = chosen.select("key", F.col("nid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("component").alias("c_a"), F.col("rank").alias("rank_a"))
-        b = rest.select("key", F.col("nid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("component").alias("c_b"), F.col("rank").alias("rank_b"))
+        own_side = lambda df, x: df.select("key", F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "ends", "rank", "common")], F.col("component").alias(f"c_{x}"))
+        p, b = own_side(chosen, "a"), own_side(rest, "b")
         before = F.struct("rank_a", "a") < F.struct("rank_b", "b")
-        met = b.join(p, "key").where(before & (F.col("c_a") != F.col("c_b")) & _may_link(similarity))
+        first = F.col("key") == F.array_min(F.array_intersect("common_a", "common_b"))
+        met = b.join(p, "key").where(before & (F.col("c_a") != F.col("c_b")) & _may_link(similarity) & first)
         pairs = work.written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = _verified(work, pairs, sketched, similarity)
+        links = _verified(work, pairs, sketched, firsts, similarity)
         if not links.isEmpty():
             labels = _merged(work, labels, links)
         pivots *= PIVOT_GROWTH
@@ -453,8 +476,9 @@ def near_classes(work: Workspace, docs: DataFrame, id_col: str = "doc_id", text_
     """One row for each distinct text: node, first_id, rows, again, n_words, class_id (least id), class_size and head,
     whether its row stays for the class."""
     groups = work.written(_groups(docs, id_col, text_col))
-    sketched = work.written(_sketched(docs, groups, id_col, text_col, rows, minima))
-    labels = _labels(work, sketched, similarity)
+    firsts = _firsts(docs, groups, id_col, text_col)
+    sketched = work.written(_sketched(firsts, rows, minima))
+    labels = _labels(work, sketched, firsts, similarity)
     sizes = sketched.groupBy("node").agg(F.min("nid").alias("nid"), F.first("n").alias("n_words"))
     linked_nodes = work.written(labels.join(sketched.select("nid", "node"), "nid").groupBy("node").agg(F.min("component").alias("component")).join(groups, "node"))
     order = F.struct(F.col("first_id").isNull().alias("null"), F.col("first_id"), F.col("node"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.exact_dedup import PatriciaTrie, dedup_report, drop_copies, owners
 from helixframe.llm.graph_cc import components
-from helixframe.llm.order_minhash import Sketches, all_linked, drop_near_copies, edits_within, linked, near_report
+from helixframe.llm.order_minhash import WHOLE, Sketches, all_linked, drop_near_copies, edits_within, linked, near_report
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -209,6 +209,33 @@ def test_many_alignments_equal_one_by_one():
     assert got.tolist() == [linked(a, b) for a, b in pairs] and 300 < got.sum() < 1400
 
 
+def test_parities_never_exceed_the_edits():
+    """The bounds that rule pairs out unverified, against edit distances, also of texts with moved parts."""
+    rng, texts = random.Random(8), []
+    for _ in range(400):
+        a = [f"w{rng.randrange(60)}" for _ in range(rng.choice([2, 7, 30, 64, 90, 130]))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3)):
+            i, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            if kind == 1:
+                b.insert(i, f"w{rng.randrange(90)}")
+            elif b:
+                b[i % len(b) : i % len(b) + 1] = [f"w{rng.randrange(90)}"] * (kind == 0)
+        if rng.random() < 0.2:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        texts += [a, b]
+    s = Sketches(pa.array([" ".join(x).encode() for x in texts]))
+    bits, out = s.bits.view(np.uint64), 0
+    for i in range(0, len(texts), 2):
+        d, apart = distance(texts[i], texts[i + 1]), abs(len(texts[i]) - len(texts[i + 1]))
+        differ = np.bitwise_count(bits[i] ^ bits[i + 1])
+        assert int(differ[:WHOLE].sum()) + apart <= 2 * d
+        if s.ends[i] == s.ends[i + 1]:
+            assert int(differ[WHOLE:].sum()) <= 2 * d
+            out += int(differ[WHOLE:].sum()) > 0.4 * max(len(texts[i]), len(texts[i + 1]))
+    assert out > 40
+
+
 @pytest.mark.parametrize("words", [60, 150, 500])
 def test_recall_of_candidates_up_to_twenty_percent_edits(words):
     """Pairs that the link rule accepts: random substitutions, insertions and deletions of up to a fifth of the words."""
