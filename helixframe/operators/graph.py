@@ -6,6 +6,8 @@ kernel's result is its fixpoint, it is the same."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +49,21 @@ def weighted_independent_set(vertices: DataFrame, edges: DataFrame, max_iters: i
 
 
 def coloring_by_sets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, color): each colour is the first independent set of what is left."""
-    both = cut(both_ways(edges))
-    left, out, k = cut(vertices.select("id")), None, 0
-    while not left.isEmpty():
-        now = _rounds(left.select("id", (-F.col("id")).alias("key")), both.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
-        part = now.withColumn("color", F.lit(k))
-        out = part if out is None else out.union(part)
-        left, k = cut(left.join(now, "id", "left_anti")), k + 1
-    return out if out is not None else left.withColumn("color", F.lit(0))
+    """(id, color): each colour is the first independent set of what is left. That is the least colour which no smaller
+    neighbour has, so a round colours all vertices whose smaller neighbours are coloured."""
+    near = cut(both_ways(edges).where("dst < src").select(F.col("src").alias("id"), F.col("dst").alias("other")))
+    left = cut(vertices.select("id").distinct())
+    alone = left.join(near, "id", "left_anti").withColumn("color", F.lit(0))
+    # what a vertex waits for, and what colours its neighbours have
+    waits = near.groupBy("id").agg(F.count("*").alias("open")).join(left, "id", "left_semi").withColumn("used", F.array().cast("array<int>"))
+    done, waits = [cut(alone)], cut(waits)
+    while not done[-1].isEmpty():
+        met = near.join(done[-1].select(F.col("id").alias("other"), "color"), "other").groupBy("id").agg(F.count("*").alias("n"), F.collect_set("color").alias("more"))
+        state = cut(waits.join(met, "id", "left").select("id", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.array_union("used", F.coalesce("more", F.array().cast("array<int>"))).alias("used")))
+        free = F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used"))
+        done.append(cut(state.where("open = 0").select("id", F.array_min(free).alias("color"))))
+        waits = state.where("open > 0")
+    return functools.reduce(DataFrame.union, done)
 
 
 def first_fit(colors: DataFrame, edges: DataFrame, k: int) -> DataFrame:
@@ -165,15 +173,15 @@ def breadth_first(edges: DataFrame, seed: int) -> DataFrame:
     """(id, level) of all vertices that the seed reaches."""
     both = cut(both_ways(edges))
     spark = edges.sparkSession
-    seen = front = spark.createDataFrame([(seed, 0)], "id long, level int")
-    level = 0
+    fronts = [spark.createDataFrame([(seed, 0)], "id long, level int")]
     while True:
-        level += 1
-        near = both.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").cast("long").alias("id")).distinct()
-        front = cut(near.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
+        near = both.join(fronts[-1].select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").cast("long").alias("id")).distinct()
+        # edges go both ways, so a front's neighbours lie in it, in the one before or in the next
+        last = functools.reduce(DataFrame.union, fronts[-2:])
+        front = cut(near.join(last, "id", "left_anti").withColumn("level", F.lit(len(fronts))))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front))
+            return functools.reduce(DataFrame.union, fronts)
+        fronts.append(front)
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:

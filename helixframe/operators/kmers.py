@@ -16,8 +16,8 @@ from ..functions.seq import ORDER_FACTOR, ORDER_MODULUS
 _BASES = np.full(256, 4, np.uint8)
 for _code, _letters in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
     _BASES[list(_letters)] = _code
-OCCURRENCES = "read_id long, kmer long, pos int"
-_SCHEMA = pa.schema([("read_id", pa.int64()), ("kmer", pa.int64()), ("pos", pa.int32())])
+OCCURRENCES = "read_id long, kmer long, pos int, forward boolean, length int"
+_SCHEMA = pa.schema([("read_id", pa.int64()), ("kmer", pa.int64()), ("pos", pa.int32()), ("forward", pa.bool_()), ("length", pa.int32())])
 _CHUNK = 1 << 20
 
 
@@ -44,8 +44,8 @@ def _strands(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return forward, backward + (np.int64(1) << (2 * k))
 
 
-def _compressed(codes: np.ndarray, k: int) -> np.ndarray:
-    """Codes with each run of a base as one base, then the lesser of both strands."""
+def _compressed(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with each run of a base as one base, the lesser of both strands, and whether it is the one as it stands."""
     forward = np.full(len(codes), 1, np.int64)
     backward, length = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
     before = np.full(len(codes), -1, np.int64)
@@ -56,7 +56,8 @@ def _compressed(codes: np.ndarray, k: int) -> np.ndarray:
         backward = np.where(new, backward + ((3 - base) << (2 * length)), backward)
         length += new
         before = base
-    return np.minimum(forward, backward + (np.int64(1) << (2 * length)))
+    backward += np.int64(1) << (2 * length)
+    return np.minimum(forward, backward), forward <= backward
 
 
 def _minimizers(keys: np.ndarray, read_of: np.ndarray, begin: np.ndarray, count: np.ndarray, w: int, compat: bool) -> np.ndarray:
@@ -96,8 +97,9 @@ def _syncmers(codes: np.ndarray, k: int, s: int) -> np.ndarray:
 
 
 def kmer_occurrences(reads: DataFrame, params: OverlapParams = OverlapParams(), lookup: bool = False) -> DataFrame:
-    """(read_id, kmer, pos) of every k-mer that the mode takes: all positions, minimizers or syncmers. reads: read_id,
-    seq. Reads shorter than k have none, null sequences count as empty. lookup: with compat syncmers, all canonical
+    """(read_id, kmer, pos, forward, length) of every k-mer that the mode takes: all positions, minimizers or syncmers.
+    forward: whether the word as it stands is the canonical one, so that two places are on one strand iff it is the same for
+    both, and no sequence has to be met again for that. length: the read's. reads: read_id, seq. Reads shorter than k have none, null sequences count as empty. lookup: with compat syncmers, all canonical
     positions, as they are looked up; else counting and lookup take the same words."""
     k, p = params.k, params
 
@@ -124,23 +126,24 @@ def kmer_occurrences(reads: DataFrame, params: OverlapParams = OverlapParams(),
         good = (read[:n] == read[k - 1 :]) & (bad[k:] == bad[:n])
         forward, backward = _strands(bases, k)
         at = np.flatnonzero(good)
-        codes, read = np.minimum(forward, backward)[at], read[at]
+        codes, read, ahead = np.minimum(forward, backward)[at], read[at], (forward <= backward)[at]
         if p.syncmers:
             raw = p.compat and not lookup
             if not (p.compat and lookup):
                 tested = forward[at] if raw else codes
                 keep = _syncmers(tested, k, p.smer)
-                codes, read, at = tested[keep], read[keep], at[keep]
+                codes, read, at, ahead = tested[keep], read[keep], at[keep], ahead[keep]
         elif p.window:
             count = np.bincount(read, minlength=len(ids))
             begin = np.concatenate([[0], np.cumsum(count)])[:-1]
             keys = order_keys(codes)
             keep = _minimizers(keys, read, begin, count, p.window, p.compat)
-            codes, read, at = codes[keep], read[keep], at[keep]
+            codes, read, at, ahead = codes[keep], read[keep], at[keep], ahead[keep]
         elif p.hopc:
-            codes = _compressed(forward[at], k)
+            codes, ahead = _compressed(forward[at], k)
         pos = at - offsets[:-1][read]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[read], pa.int64()), pa.array(codes), pa.array(pos.astype(np.int32))], schema=_SCHEMA)
+        sizes = np.diff(offsets).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[read], pa.int64()), pa.array(codes), pa.array(pos.astype(np.int32)), pa.array(ahead), pa.array(sizes[read])], schema=_SCHEMA)
 
     plain = reads.select(F.col("read_id").cast("long"), F.coalesce(F.encode("seq", "US-ASCII"), F.lit(b"")).alias("seq"))
     return plain.mapInArrow(extract, OCCURRENCES)

@@ -16,10 +16,12 @@ def merge_duplicates(coo: DataFrame, add: Callable[[str], Column] = F.sum) -> Da
 
 
 def occurrence_matrix(occurrences: DataFrame, kmers: DataFrame) -> DataFrame:
-    """(read_id, kmer, pos) for the given k-mers: of several places in a read the last stays. The places are merged
-    before the join, which a read's repeated k-mers then don't inflate."""
-    last = occurrences.groupBy("read_id", "kmer").agg(F.max("pos").alias("pos"))
-    return last.join(kmers.select("kmer"), "kmer", "left_semi").select("read_id", "kmer", "pos")
+    """(read_id, kmer, pos, forward, length) for the given k-mers: of several places in a read the last stays. Other k-mers
+    go first; places are merged where the join has left them, by k-mer, which also serves a join of the result by k-mer."""
+    given = occurrences.join(kmers.select("kmer"), "kmer", "left_semi")
+    # the place and its strand in one number, so that sums are hashed
+    last = given.groupBy("kmer", "read_id").agg(F.max(F.col("pos").cast("long") * 2 + F.col("forward").cast("long")).alias("at"), F.max("length").alias("length"))
+    return last.select("read_id", "kmer", F.shiftright("at", 1).cast("int").alias("pos"), (F.col("at") % 2 == 1).alias("forward"), "length")
 
 
 def transpose(coo: DataFrame) -> DataFrame:

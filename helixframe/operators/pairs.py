@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 
 from ..functions.params import OverlapParams
 from ..functions.seq import seed_overlap
-from .kmers import kmer_counts, kmer_occurrences, reliable
+from .kmers import kmer_counts, kmer_occurrences, reliable, require_reliable
 from .matrix import occurrence_matrix
+from .tables import cut
 
 
 def reliable_matrix(reads: DataFrame, params: OverlapParams = OverlapParams()) -> DataFrame:
-    """(read_id, kmer, pos) over reliable k-mers."""
-    occurrences = kmer_occurrences(reads, params)
-    band = reliable(kmer_counts(occurrences), params.lower, params.upper)
+    """(read_id, kmer, pos, forward, length) over reliable k-mers; an error if none is reliable. Words are taken from the
+    reads once, written, then counted and looked up."""
+    occurrences = cut(kmer_occurrences(reads, params))
+    band = require_reliable(cut(reliable(kmer_counts(occurrences), params.lower, params.upper)))
     looked_up = kmer_occurrences(reads, params, lookup=True) if params.syncmers and params.compat else occurrences
     return occurrence_matrix(looked_up, band)
 
 
 def shared_seeds(matrix: DataFrame) -> DataFrame:
-    """(v, h, kmer, pos_v, pos_h) of every k-mer that two reads share, v < h. The band bounds a k-mer's rows to
-    upper * (upper - 1) / 2, so no k-mer is hot here."""
-    a = matrix.select("kmer", F.col("read_id").alias("v"), F.col("pos").alias("pos_v"))
-    b = matrix.select("kmer", F.col("read_id").alias("h"), F.col("pos").alias("pos_h"))
-    return a.join(b, "kmer").where("v < h").select("v", "h", "kmer", "pos_v", "pos_h")
+    """(v, h, kmer, pos_v, pos_h, forward, len_v, len_h) of every k-mer that two reads share, v < h. forward: whether both
+    places are on one strand. The band bounds a k-mer's rows to upper * (upper - 1) / 2, so no k-mer is hot here."""
+    side = lambda x: matrix.select("kmer", F.col("read_id").alias(x), F.col("pos").alias(f"pos_{x}"), F.col("forward").alias(f"forward_{x}"), F.col("length").alias(f"len_{x}"))
+    met = side("v").join(side("h"), "kmer").where("v < h")
+    return met.select("v", "h", "kmer", "pos_v", "pos_h", (F.col("forward_v") == F.col("forward_h")).alias("forward"), "len_v", "len_h")
 
 
 def candidate_pairs(matrix: DataFrame) -> DataFrame:
@@ -33,15 +35,10 @@ def candidate_pairs(matrix: DataFrame) -> DataFrame:
     return shared_seeds(matrix).groupBy("v", "h").agg(F.count("*").alias("shared"))
 
 
-def seed_table(seeds: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """Seeds with lengths, strand and the overlap each implies. Only the k letters at each place are compared, and
-    sequences are attached by one join a side."""
-    side = lambda x: reads.select(F.col("read_id").alias(x), F.col("seq").alias(f"seq_{x}"))
-    joined = seeds.join(side("v"), "v").join(side("h"), "h")
-    word = lambda x: F.substr(F.col(f"seq_{x}"), F.col(f"pos_{x}") + 1, F.lit(k))
-    forward = word("v") == word("h")
-    len_v, len_h = F.length("seq_v"), F.length("seq_h")
-    return joined.select("v", "h", "kmer", "pos_v", "pos_h", len_v.alias("len_v"), len_h.alias("len_h"), forward.alias("forward"), seed_overlap(F.col("pos_v"), len_v, F.col("pos_h"), len_h, forward, k).alias("ov"))
+def seed_table(seeds: DataFrame, k: int) -> DataFrame:
+    """Seeds with the overlap that each implies, from places, strands and lengths alone."""
+    ov = seed_overlap(F.col("pos_v"), F.col("len_v"), F.col("pos_h"), F.col("len_h"), F.col("forward"), k)
+    return seeds.select("v", "h", "kmer", "pos_v", "pos_h", "len_v", "len_h", "forward", ov.alias("ov"))
 
 
 def fold_bins(seeds: list[tuple[int, int, int]], bin_width: int, k: int) -> tuple[int, list[dict]]:
@@ -97,5 +94,7 @@ def chosen_seeds(seeds: DataFrame, params: OverlapParams = OverlapParams()) -> D
 
 def product_statistics(matrix: DataFrame) -> DataFrame:
     """One row: nnz of the matrix, join rows of the triangular product, distinct pairs and their ratio."""
-    pairs = candidate_pairs(matrix).agg(F.sum("shared").alias("flops"), F.count("*").alias("nnz_output"))
-    return matrix.agg(F.count("*").alias("nnz")).join(pairs).select("nnz", F.coalesce("flops", F.lit(0)).alias("flops"), "nnz_output", F.round(F.try_divide(F.col("flops"), F.col("nnz_output")), 6).alias("compression"))
+    pairs = candidate_pairs(matrix).select(F.col("shared"), F.lit(1).alias("pair"), F.lit(0).alias("entry"))
+    both = pairs.union(matrix.select(F.lit(0).cast("long"), F.lit(0), F.lit(1)))
+    sums = both.agg(F.sum("entry").alias("nnz"), F.coalesce(F.sum("shared"), F.lit(0)).alias("flops"), F.sum("pair").alias("nnz_output"))
+    return sums.select("nnz", "flops", "nnz_output", F.round(F.try_divide(F.col("flops"), F.col("nnz_output")), 6).alias("compression"))

@@ -7,15 +7,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_made: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the shared folder (spark.checkpoint.dir; a temp folder in local tests)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder's URI in the shared folder (spark.checkpoint.dir; a temp folder in local tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local["):
@@ -24,9 +24,23 @@ def cut(df: DataFrame) -> DataFrame:
             _own.append(tempfile.mkdtemp(prefix="helixframe-rounds-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         top = "file://" + _own[0]
-    path = f"{top.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/round-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and read back from the shared folder."""
+    path = shared_path(df.sparkSession)
+    _made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables of rounds that this driver has written; call it when the results are consumed."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import cut
+
 READS = "read_id long, nametag string, seq string, qual string"
 RANGE_BYTES = 64 << 20
 _BLOCK = 4 << 20
@@ -68,8 +70,10 @@ class _Lines:
 
 
 def _is_record(lines: list[bytes]) -> bool:
-    """Whether four lines can be a record. A quality line may begin with @, but then its third line is a sequence."""
-    return len(lines) == 4 and lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1]) == len(lines[3]) and bool(lines[1]) and lines[1][:1] not in b"@+"
+    """Whether four lines can be a record, of an empty read too. Sequences begin with neither @ nor +, so lines that begin
+    elsewhere in a record can't: a quality line may begin with @, but then a header stands where the sequence should, and
+    the line of + begins with no @."""
+    return len(lines) == 4 and lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1]) == len(lines[3]) and lines[1][:1] not in (b"@", b"+")
 
 
 def parse_record(lines: list[bytes], where: str) -> tuple[str, str, str]:
@@ -135,7 +139,8 @@ def read_fastq(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_B
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     plan = spark.createDataFrame(ranges, "number long, path string, start long, end long").repartition(max(1, len(ranges)), "number")
-    found = plan.mapInArrow(scan, "number long, local long, nametag string, seq string, qual string")
+    # parsed once, then counted and numbered
+    found = cut(plan.mapInArrow(scan, "number long, local long, nametag string, seq string, qual string"))
     counts = found.groupBy("number").agg(F.max("local").alias("top"))
     starts = counts.select("number", F.coalesce(F.sum(F.col("top") + 1).over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begun"))
     starts = F.broadcast(starts) if len(ranges) <= 100_000 else starts  # a row for each range
@@ -173,5 +178,14 @@ def estimated_size(reads: DataFrame, sample: int, total_bytes: int) -> DataFrame
     return first.agg(F.round(F.count("*") * ratio).cast("long").alias("reads"), F.round(F.sum("n") * ratio).cast("long").alias("bases"))
 
 
-def write_fastq(reads: DataFrame, path: str) -> None:
-    reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "nametag"), "seq", F.lit("+"), "qual")).write.text(path)
+def write_fastq(reads: DataFrame, path: str, compression: str = "none", ordered: bool = False) -> None:
+    """FASTQ files below path; with `ordered` by read_id over all files in the order of their names."""
+    rows = reads.orderBy("read_id") if ordered else reads
+    rows.select(F.concat_ws("\n", F.concat(F.lit("@"), "nametag"), "seq", F.lit("+"), "qual")).write.option("compression", compression).text(path)
+
+
+def files_below(spark: SparkSession, path: str, ending: str) -> list[str]:
+    """Paths of the files with an ending right below a folder of any file system, in the order of their names."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(top)
+    return sorted(x.getPath().toString() for x in found if x.getPath().getName().endswith(ending))

@@ -1,6 +1,8 @@
 import gzip
+import math
 import random
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -79,6 +81,12 @@ def test_reliable_bounds():
     low, high = seq.reliable_bounds(40, 0.02, 17, 0.01)
     assert 2 <= low < high <= 40
     assert seq.slope(0.15) == pytest.approx(0.445)
+    # by exact fractions: the terms from the top down, and from two upwards, until the chance is gathered
+    p = (1 - Fraction(2, 100)) ** 17
+    term = lambda m: math.comb(40, m) * p**m * (1 - p) ** (40 - m)
+    upper = next(m for m in range(40, -1, -1) if sum(term(i) for i in range(m + 1, 41)) >= Fraction(1, 100)) + 1
+    lower = max(next(m for m in range(2, 42) if sum(term(i) for i in range(2, m)) >= Fraction(1, 100)) - 1, 2)
+    assert (low, high) == (lower, upper)
 
 
 @pytest.fixture
@@ -98,6 +106,28 @@ def test_fastq_ranges(spark, fastq_file, size):
     assert got == [(i, *r) for i, r in enumerate(records + records)]
 
 
+@pytest.mark.parametrize("size", [17, 64, 200, 4096])
+def test_fastq_ranges_with_empty_reads(spark, tmp_path, size):
+    """Empty reads, qualities that begin with @ or +, names alike: every range size gives every record once."""
+    rng = random.Random(size)
+    records = []
+    for i in range(200):
+        s = generate.random_sequence(rng.choice([0, 0, 1, 2, 30]), rng)
+        records.append((f"r{i}", s, "".join(rng.choice("@+I!") for _ in s)))
+    path = tmp_path / "e.fastq"
+    path.write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in records))
+    got = [tuple(r)[1:] for r in fastq.read_fastq(spark, [str(path)], size).orderBy("read_id").collect()]
+    assert got == records and sum(not r[1] for r in records) > 50
+
+
+def test_fastq_is_written_in_the_order_of_ids(spark, tmp_path):
+    rows = [(i, f"n{i}", "ACGT"[: i % 5], "IIII"[: i % 5]) for i in range(500)]
+    table = spark.createDataFrame(rows, "read_id long, nametag string, seq string, qual string").repartition(7)
+    fastq.write_fastq(table, f"file://{tmp_path}/w", ordered=True)
+    files = fastq.files_below(spark, f"file://{tmp_path}/w", ".txt")
+    assert [tuple(r) for r in fastq.read_fastq(spark, files, 100).orderBy("read_id").collect()] == rows
+
+
 def test_fastq_gzip_list_and_messages(spark, fastq_file, tmp_path):
     path, records = fastq_file
     packed = tmp_path / "b.fastq.gz"
