@@ -91,7 +91,9 @@ def placement_scores(found: DataFrame, intervals: DataFrame, min_overlap: int =
     last = found.where("a <> b").groupBy("a", "b").agg(F.max_by("overlap", "line_no").alias("overlap"))
     state = last.join(best_reference_overlap(last, intervals), ["a", "b"])
     true = F.col("truth") >= min_overlap
-    n = state.agg(F.count_if(true).alias("true"), F.count_if(true | (F.col("overlap") >= min_overlap)).alias("predicted"))
-    expected = interval_pairs(intervals, min_overlap).agg(F.count("*").alias("expected"))
+    # all three counts in one aggregation
+    counted = state.select(true.cast("long").alias("true"), (true | (F.col("overlap") >= min_overlap)).cast("long").alias("predicted"), F.lit(0).cast("long").alias("expected"))
+    zero = F.lit(0).cast("long")
+    n = counted.union(interval_pairs(intervals, min_overlap).select(zero, zero, F.lit(1).cast("long"))).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("true", "predicted", "expected")])
     factor = 2 if doubled else 1
-    return n.join(expected).select("true", "predicted", "expected", F.round(F.coalesce(F.try_divide(F.lit(factor) * F.col("true"), F.col("expected")) * 100, F.lit(0.0)), 2).alias("recall"), F.round(F.coalesce(F.try_divide(F.col("true"), F.col("predicted")) * 100, F.lit(0.0)), 2).alias("precision"))
+    return n.select("true", "predicted", "expected", F.round(F.coalesce(F.try_divide(F.lit(factor) * F.col("true"), F.col("expected")) * 100, F.lit(0.0)), 2).alias("recall"), F.round(F.coalesce(F.try_divide(F.col("true"), F.col("predicted")) * 100, F.lit(0.0)), 2).alias("precision"))
