@@ -18,15 +18,17 @@ from .views import BASES, MATRIX, MERGED, ORDER_GRAPH, READS, SHIFTED, TRUTH, fi
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+#: SQL that is too slow for larger tables; tests run it on the smallest.
+SMALL_ORACLE: dict[str, str] = {}
 K = 17
 LEAST = evaluate.MIN_OVERLAP
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, small: bool = False) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = sql
+            (SMALL_ORACLE if small else ORACLE)[f.__name__] = sql
         return f
 
     return add
@@ -178,7 +180,7 @@ folded AS (SELECT v, h, len_v, len_h, len(sts) AS shared, list_reduce(sts, lambd
 chosen AS (SELECT v, h, len_v, len_h, shared, f.cnt AS cnt, len(f.bins) AS n_bins, list_filter(f.bins, lambda b: b.support = list_max(list_transform(f.bins, lambda c: c.support)))[1] AS best FROM folded)"""
 
 
-@query(f"WITH {_FOLD} SELECT v, h, shared, cnt AS count, CAST(n_bins AS INT) AS bins, best.support AS support, best.ov AS ov, CAST(best.seeds[1].v AS INT) AS pos_v, CAST(best.seeds[1].h AS INT) AS pos_h FROM chosen")
+@query(f"WITH {_FOLD} SELECT v, h, shared, cnt AS count, CAST(n_bins AS INT) AS bins, best.support AS support, best.ov AS ov, CAST(best.seeds[1].v AS INT) AS pos_v, CAST(best.seeds[1].h AS INT) AS pos_h FROM chosen", small=True)
 def chain_fold(spark, sf_dir):
     return pairs.chosen_seeds(pairs.seed_table(pairs.shared_seeds(_matrix(spark, sf_dir)), K))
 
@@ -214,7 +216,7 @@ def overlap_paf_lines(spark, sf_dir):
     return formats.paf_lines(overlap.overlaps(views.reads(spark, sf_dir)).where("passed"))
 
 
-@query(f"WITH {_FOLD} SELECT concat_ws('\t', 'read' || v, 'read' || h, shared, best.ov, len_v, len_h) AS value FROM chosen")
+@query(f"WITH {_FOLD} SELECT concat_ws('\t', 'read' || v, 'read' || h, shared, best.ov, len_v, len_h) AS value FROM chosen", small=True)
 def overlap_only_lines(spark, sf_dir):
     return formats.overlap_lines(overlap.overlaps(views.reads(spark, sf_dir), OverlapParams(skip_alignment=True)))
 
@@ -491,15 +493,15 @@ def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return views.reads(spark, sf_dir).select(F.col("read_id").alias("id")), edges
 
 
-_LINKS = f"{SEEDS}, l AS (SELECT DISTINCT v AS src, h AS dst FROM seeds UNION SELECT DISTINCT h, v FROM seeds)"
+_LINKS = f"{SEEDS}, l AS MATERIALIZED (SELECT DISTINCT v AS src, h AS dst FROM seeds UNION SELECT DISTINCT h, v FROM seeds)"
 _MIXED = "(id * 7919) % 1009"
 
 
 def _greedy(order: str, links: str = "l") -> str:
     """SQL of the independent set that a pass in an order takes: vertices are numbered, and a list of those taken grows."""
-    return f"""WITH RECURSIVE {_LINKS}, d2 AS (SELECT DISTINCT x.src, y.dst FROM l x JOIN l y ON x.dst = y.src WHERE x.src <> y.dst UNION SELECT * FROM l),
-i AS (SELECT read_id AS id, row_number() OVER (ORDER BY {order.replace('id', 'read_id')}) AS n FROM reads),
-b AS (SELECT i.id, i.n, coalesce(list(j.n) FILTER (j.n < i.n), []) AS near FROM i LEFT JOIN {links} e ON e.src = i.id LEFT JOIN i j ON j.id = e.dst GROUP BY 1, 2),
+    return f"""WITH RECURSIVE {_LINKS}, d2 AS MATERIALIZED (SELECT DISTINCT x.src, y.dst FROM l x JOIN l y ON x.dst = y.src WHERE x.src <> y.dst UNION SELECT * FROM l),
+i AS MATERIALIZED (SELECT read_id AS id, row_number() OVER (ORDER BY {order.replace('id', 'read_id')}) AS n FROM reads),
+b AS MATERIALIZED (SELECT i.id, i.n, coalesce(list(j.n) FILTER (j.n < i.n), []) AS near FROM i LEFT JOIN {links} e ON e.src = i.id LEFT JOIN i j ON j.id = e.dst GROUP BY 1, 2),
 t(n, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT b.n, CASE WHEN list_has_any(taken, near) THEN taken ELSE list_append(taken, b.n) END FROM t JOIN b ON b.n = t.n + 1)
 SELECT id FROM i JOIN (SELECT unnest(taken) AS n FROM (SELECT taken FROM t ORDER BY n DESC LIMIT 1)) USING (n)"""
 
@@ -532,8 +534,8 @@ def graph_mis_distance2(spark, sf_dir):
     return graph.distance_k_set(vertices.withColumn("y", F.pmod(F.col("id") * 7919, F.lit(1009))), edges, 2)
 
 
-@query(f"""WITH RECURSIVE {_LINKS}, i AS (SELECT read_id AS id, row_number() OVER (ORDER BY read_id) AS n FROM reads),
-b AS (SELECT i.id, i.n, coalesce(list(j.n) FILTER (j.n < i.n), []) AS near FROM i LEFT JOIN l ON l.src = i.id LEFT JOIN i j ON j.id = l.dst GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {_LINKS}, i AS MATERIALIZED (SELECT read_id AS id, row_number() OVER (ORDER BY read_id) AS n FROM reads),
+b AS MATERIALIZED (SELECT i.id, i.n, coalesce(list(j.n) FILTER (j.n < i.n), []) AS near FROM i LEFT JOIN l ON l.src = i.id LEFT JOIN i j ON j.id = l.dst GROUP BY 1, 2),
 t(n, colors) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INT[]) UNION ALL SELECT b.n, list_append(colors, CAST(list_min(list_filter(range(len(near) + 1), lambda c: NOT list_contains(list_transform(near, lambda x: colors[x]), c))) AS INT)) FROM t JOIN b ON b.n = t.n + 1)
 SELECT id, (SELECT colors FROM t ORDER BY n DESC LIMIT 1)[n] AS color FROM i""")
 def graph_coloring(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.params import OverlapParams
 from helixframe.operators import pairs
 from helixframe.plans import overlap, views
-from helixframe.plans.queries import ORACLE, QUERIES
+from helixframe.plans.queries import ORACLE, QUERIES, SMALL_ORACLE
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -31,12 +31,12 @@ def shown(value):
     return round(float(value), 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE | SMALL_ORACLE))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     mine = sorted(repr(tuple(shown(x) for x in r)) for r in df.select(*columns).collect())
-    relation = duck.sql(ORACLE[name])
+    relation = duck.sql((ORACLE | SMALL_ORACLE)[name])
     assert sorted(relation.columns) == columns
     theirs = sorted(repr(tuple(shown(x) for x in r)) for r in relation.select(*[f'"{c}"' for c in columns]).fetchall())
     assert mine == theirs
