@@ -9,7 +9,7 @@ components of the links. At 20 % random edits, where a fifth of the shingles are
 candidates, and nearly all at fewer edits (the recall test measures this).
 
 Equal texts are one node; only one row of each is sketched. In a bucket (equal key) all members are first held against
-one pivot; then, round by round, against four times as many pivots each, but only members whose components still
+one pivot; then, round by round, against sixteen times as many pivots each, but only members whose components still
 differ. At the end every pair of a bucket was verified, is in one class, or can't be linked: lengths and the parities of the
 words' counts in slots, of whole texts and of their beginnings and ends, bound a pair's edits from below, and a pair goes
 unverified only if that bound is beyond the edits that a link allows. No link depends on a bucket's size. A group of thousands of copies costs one comparison a
@@ -37,7 +37,7 @@ from .graph_cc import components
 U64 = np.uint64
 WORDS, ROWS, MINIMA, SIMILARITY = 5, 4, 6, 0.8
 #: Growth of the number of pivots from round to round.
-PIVOT_GROWTH = 4
+PIVOT_GROWTH = 16
 #: Tables of up to so many rows (at most 40 bytes each) are broadcast, and joined by a shuffle beyond.
 BROADCAST_NODES = 200_000
 _SPREAD = 32
