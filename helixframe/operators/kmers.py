@@ -33,15 +33,30 @@ def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _words(bases: np.ndarray, k: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Packed letters of all k-letter windows and of their reverse complements, joined from windows of powers of two."""
+    power, back, size = bases.astype(dtype), 3 - bases.astype(dtype), 1
+    forward = backward = None
+    done = 0
+    while True:
+        if k & size:
+            if forward is None:
+                forward, backward = power, back
+            else:
+                n = len(bases) - done - size + 1
+                forward, backward = (forward[:n] << dtype(2 * size)) + power[done : done + n], (back[done : done + n] << dtype(2 * done)) + backward[:n]
+            done += size
+        if done == k:
+            return forward, backward
+        n = len(power) - size
+        power, back = (power[:n] << dtype(2 * size)) + power[size:], (back[size:] << dtype(2 * size)) + back[:n]
+        size *= 2
+
+
 def _strands(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all k-letter windows and of their reverse complements."""
-    n = len(bases) - k + 1
-    forward, backward = np.full(n, 1, np.int64), np.zeros(n, np.int64)
-    wide = bases.astype(np.int64)
-    for j in range(k):
-        forward = forward * 4 + wide[j : j + n]
-        backward += (3 - wide[j : j + n]) << (2 * j)
-    return forward, backward + (np.int64(1) << (2 * k))
+    forward, backward = _words(bases, k, np.int64)
+    return forward + (np.int64(1) << (2 * k)), backward + (np.int64(1) << (2 * k))
 
 
 def _compressed(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

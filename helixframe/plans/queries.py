@@ -152,7 +152,7 @@ def overlap_candidates(spark, sf_dir):
 
 @query(f"WITH {SEEDS}, p AS (SELECT v, h, count(*) AS n FROM seeds GROUP BY 1, 2) SELECT (SELECT count(*) FROM occ) AS nnz, CAST(sum(n) AS BIGINT) AS flops, count(*) AS nnz_output, round(sum(n) / count(*), 6) AS compression FROM p")
 def spgemm_stats(spark, sf_dir):
-    return pairs.product_statistics(cut(_matrix(spark, sf_dir)))
+    return pairs.statistics_of(views.reads(spark, sf_dir))
 
 
 _OV = SEEDS + f""",
