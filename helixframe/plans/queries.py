@@ -179,7 +179,7 @@ chosen AS (SELECT v, h, len_v, len_h, shared, f.cnt AS cnt, len(f.bins) AS n_bin
 
 @query(f"WITH {_FOLD} SELECT v, h, shared, cnt AS count, CAST(n_bins AS INT) AS bins, best.support AS support, best.ov AS ov, CAST(best.seeds[1].v AS INT) AS pos_v, CAST(best.seeds[1].h AS INT) AS pos_h FROM chosen", small=True)
 def chain_fold(spark, sf_dir):
-    return pairs.chosen_seeds(pairs.seed_table(pairs.shared_seeds(_matrix(spark, sf_dir)), K))
+    return pairs.chosen_of(views.reads(spark, sf_dir)).drop("len_v", "len_h")
 
 
 @query()

@@ -82,7 +82,7 @@ def test_few_bytes_are_shuffled_per_kmer(spark):
     reads = views.reads(spark, DATA)
     n = kmers.kmer_occurrences(reads).count()
     assert superkmers.deal(reads, OverlapParams(), 16).agg(F.sum(F.length("data"))).first()[0] < 3 * n
-    for name in ("occurrence_matrix", "overlap_candidates", "spgemm_stats", "seed_overlap_estimate"):
+    for name in ("occurrence_matrix", "overlap_candidates", "spgemm_stats", "seed_overlap_estimate", "chain_fold"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         dealt = [line for line in plan.splitlines() if "Repartition" in line]
         assert "bucket" in plan and all("bucket" in line or "doc_id" in line for line in dealt) and "Join" not in plan, name
