@@ -10,7 +10,7 @@ from ..functions.params import OverlapParams
 from ..functions.seq import seed_overlap
 from .kmers import kmer_counts, kmer_occurrences, reliable, require_reliable
 from .matrix import occurrence_matrix
-from .superkmers import folded_pairs, reduced, reduced_pairs, seed_overlaps, supported
+from .superkmers import folded_pairs, reduced, reduced_pairs, supported
 from .tables import cut
 
 
@@ -52,10 +52,7 @@ def chosen_of(reads: DataFrame, params: OverlapParams = OverlapParams()) -> Data
         return chosen_seeds(seeds, params).join(side("v"), "v").join(side("h"), "h")
 
     def fold(found) -> pa.RecordBatch:
-        rows = []
-        for v, h, len_v, len_h, pos_v, pos_h, forward in found:
-            ov = seed_overlaps(pos_v, len_v, pos_h, len_h, forward, params.k)
-            rows.append((*_chosen_row(v, h, list(zip(pos_v.tolist(), pos_h.tolist(), ov.tolist(), strict=True)), params), len_v, len_h))
+        rows = [(*_chosen_row(v, h, seeds, params), len_v, len_h) for v, h, len_v, len_h, seeds in found]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MEASURED)], schema=_MEASURED)
 
     return folded_pairs(reads, params, fold, f"{CHOSEN}, len_v int, len_h int")
@@ -114,6 +111,8 @@ _MEASURED = pa.schema([*_CHOSEN, ("len_v", pa.int32()), ("len_h", pa.int32())])
 
 
 def _chosen_row(v: int, h: int, found: list[tuple[int, int, int]], params: OverlapParams) -> tuple:
+    if len(found) == 1:
+        return v, h, 1, 1, 1, 1, found[0][2], *found[0][:2]
     count, bins = fold_bins(found, params.bin_width, params.k)
     best = best_bin(bins)
     return v, h, len(found), count, len(bins), best["support"], best["ov"], *best["seeds"][0]

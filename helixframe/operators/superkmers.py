@@ -272,10 +272,6 @@ def _opened_pairs(n: int, size: int, data: bytes, numbers: int, codec: pa.Codec)
 # What a task's buckets give to pairs, by v and h, and what a pair's rows of all tasks come to.
 
 
-def _ends(begin: np.ndarray, n: int) -> np.ndarray:
-    return np.append(begin[1:], n)
-
-
 def _counts(buckets: Iterator[Entries], k: int) -> Iterator[list[np.ndarray]]:
     for v, h in _chunks(buckets, lambda e: [e.read[x] for x in _met(e)]):
         begin = _groups(v, h)
@@ -322,13 +318,20 @@ def _diagonals(buckets: Iterator[Entries], k: int) -> Iterator[list[np.ndarray]]
         yield [v[begin], h[begin], len_v[begin], len_h[begin], pos_v[begin], pos_h[begin] * 2 + forward[begin], np.diff(begin, append=len(v))]
 
 
-def _seeds_of_pairs(v, h, len_v, len_h, pos_v, pos_h, size) -> Iterator[tuple]:
-    """v, h, both lengths, and arrays of pos_v, pos_h and whether forward, of each pair."""
+def _seeds_of_pairs(k: int, v, h, len_v, len_h, pos_v, pos_h, size) -> Iterator[tuple]:
+    """v, h, both lengths and the seeds (pos_v, pos_h, overlap) of each pair; seeds are computed for many pairs at once."""
     begin = _groups(v, h)
-    for i, j in zip(begin.tolist(), _ends(begin, len(v)).tolist(), strict=True):
-        n = size[i:j].astype(np.int64)
+    for some in np.array_split(begin, max(1, len(begin) // 8192)):
+        i, after = int(some[0]), np.searchsorted(begin, some[-1], "right")
+        j = int(begin[after]) if after < len(begin) else len(v)
+        n, heads = size[i:j].astype(np.int64), some - i
         step, forward = _spans(np.zeros(j - i, np.int64), n), np.repeat(pos_h[i:j] & 1, n) == 1
-        yield int(v[i]), int(h[i]), int(len_v[i:j].max()), int(len_h[i:j].max()), np.repeat(pos_v[i:j], n) + step, np.repeat(pos_h[i:j] >> 1, n) + np.where(forward, step, -step), forward
+        at_v, at_h = np.repeat(pos_v[i:j], n) + step, np.repeat(pos_h[i:j] >> 1, n) + np.where(forward, step, -step)
+        seeds, most = np.add.reduceat(n, heads), [np.maximum.reduceat(c[i:j], heads) for c in (len_v, len_h)]
+        ov = seed_overlaps(at_v, np.repeat(most[0], seeds), at_h, np.repeat(most[1], seeds), forward, k)
+        every, ends = list(zip(at_v.tolist(), at_h.tolist(), ov.tolist(), strict=True)), np.cumsum(seeds).tolist()
+        for *pair, a, b in zip(v[some].tolist(), h[some].tolist(), most[0].tolist(), most[1].tolist(), [0, *ends[:-1]], ends, strict=True):
+            yield *pair, every[a:b]
 
 
 def _dealt(reads: DataFrame, params: OverlapParams, lengths: bool) -> tuple[DataFrame, int, int]:
@@ -376,10 +379,10 @@ def reduced_pairs(reads: DataFrame, params: OverlapParams, kind: str, entries: b
 
 
 def folded_pairs(reads: DataFrame, params: OverlapParams, fold: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
-    """What fold makes of lists of (v, h, len_v, len_h, pos_v, pos_h, forward), arrays of a pair's seeds at the end."""
+    """What fold makes of lists of (v, h, len_v, len_h, seeds), a pair's seeds as a list of (pos_v, pos_h, overlap)."""
 
     def take(*columns) -> Iterator[pa.RecordBatch]:
-        for some in itertools.batched(_seeds_of_pairs(*columns), 8192):
+        for some in itertools.batched(_seeds_of_pairs(params.k, *columns), 8192):
             yield fold(some)
 
     return _pairs(reads, params, _diagonals, take, 5, schema, True, False)
