@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.params import OverlapParams
 from helixframe.operators import kmers, matrix, pairs, superkmers
-from helixframe.plans import views
+from helixframe.plans import overlap, views
 from helixframe.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -86,3 +86,12 @@ def test_few_bytes_are_shuffled_per_kmer(spark):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         dealt = [line for line in plan.splitlines() if "Repartition" in line]
         assert "bucket" in plan and all("bucket" in line or "doc_id" in line for line in dealt) and "Join" not in plan, name
+
+
+def test_candidates_without_alignment_meet_no_sequence(spark):
+    """Lengths come with the seeds and names from a narrow table."""
+    text = "ACGTTGCAAC" * 3 + "TTGACCATGGCATCAGATTACAGGCT"
+    reads = spark.createDataFrame([(i, f"r{i}", text[: 40 + i]) for i in range(3)], "read_id long, nametag string, seq string")
+    found = overlap.overlaps(reads, OverlapParams(skip_alignment=True))
+    assert "seq_" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["v"], r["h"], r["len_v"], r["len_h"], r["name_h"]) for r in found.collect()} == {(0, 1, 40, 41, "r1"), (0, 2, 40, 42, "r2"), (1, 2, 41, 42, "r2")}
