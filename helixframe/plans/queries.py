@@ -486,7 +486,7 @@ def prefix_sum_stages(spark, sf_dir):
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All reads, and the links between those that share a reliable k-mer."""
-    edges = cut(pairs.candidate_pairs(_matrix(spark, sf_dir)).select(F.col("v").alias("src"), F.col("h").alias("dst"), F.col("shared").cast("double").alias("w")))
+    edges = cut(pairs.candidates_of(views.reads(spark, sf_dir)).select(F.col("v").alias("src"), F.col("h").alias("dst"), F.col("shared").cast("double").alias("w")))
     return views.reads(spark, sf_dir).select(F.col("read_id").alias("id")), edges
 
 
