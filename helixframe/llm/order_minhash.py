@@ -11,8 +11,8 @@ candidates, and nearly all at fewer edits (the recall test measures this).
 Equal texts are one node; only one row of each is sketched. In a bucket (equal key) all members are first held against
 one pivot; then, round by round, against sixteen times as many pivots each, but only members whose components still
 differ. At the end every pair of a bucket was verified, is in one class, or can't be linked: lengths and the parities of the
-words' counts in slots, of whole texts and of their beginnings and ends, bound a pair's edits from below, and a pair goes
-unverified only if that bound is beyond the edits that a link allows. No link depends on a bucket's size. A group of thousands of copies costs one comparison a
+words' counts in slots, of whole texts and of their beginnings and ends, bound a pair's edits from below, as do, where members
+meet, bags of words in slots that grow with the text; a pair goes unverified only if a bound is beyond the edits that a link allows. No link depends on a bucket's size. A group of thousands of copies costs one comparison a
 member, a passage that many unlinked texts share one comparison of parities a pair, inside the join. No bucket is gathered
 in a task: buckets are met by joins, whose hot keys are split, and counted by partial sums.
 
@@ -44,6 +44,8 @@ _SPREAD = 32
 #: Words of 64 parities each of the whole text, of its beginning and of its end.
 WHOLE, ENDS = 8, 4
 BIT_WORDS = WHOLE + 2 * ENDS
+#: Slots of a text's bag for each word, at least; texts whose bag would have no more slots than the whole's parities have none.
+BAG_SLOTS = 4
 #: Texts of more words are aligned one by one; cells of a batch's row; a distance beyond any other.
 _WIDE, _CELLS, _FAR = 3000, 200_000, np.int16(16_000)
 #: Edits that most near copies have at most.
@@ -53,12 +55,13 @@ _BYTES = 8 << 20
 
 
 class Sketches:
-    """Of each text: its words, its keys (values and offsets), the parities of its words' counts, and a letter a word."""
+    """Of each text: its words, its keys (values and offsets), the parities of its words' counts, its bag (values and offsets),
+    and a letter a word."""
 
     def __init__(self, column: pa.Array, k: int = WORDS, rows: int = ROWS, minima: int = MINIMA, seed: int = 3) -> None:
         data, offsets = text_buffer(column)
         row_seeds = seeds(rows, seed)
-        ends = [np.zeros(0, np.int64)]
+        ends, bags, bag_sizes = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         words, keys, sizes, bits, letters = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros((0, BIT_WORDS), U64)], [np.zeros(0, np.uint8)]
         for _, _, part, off in pieces_of(data, offsets):
             begins, stops, first = word_bounds(part, off)
@@ -71,10 +74,14 @@ class Sketches:
             own_bits, own_ends = _parities(hashes, n)
             bits.append(own_bits)
             ends.append(own_ends)
+            own_bags, own_sizes = _bags(hashes, n)
+            bags.append(own_bags)
+            bag_sizes.append(own_sizes)
             letters.append((hashes >> U64(56)).astype(np.uint8))
         self.words, self.keys, self.bits = np.concatenate(words), np.concatenate(keys).view(np.int64), np.concatenate(bits).view(np.int64)
         self.letters, self.ends = np.concatenate(letters), np.concatenate(ends)
         self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.bags, self.bag_offsets = np.concatenate(bags).view(np.int64), np.concatenate([[0], np.cumsum(np.concatenate(bag_sizes))])
 
     def of(self, i: int) -> set[int]:
         return set(self.keys[self.offsets[i] : self.offsets[i + 1]].tolist())
@@ -97,6 +104,25 @@ def _parities(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nda
     return bits.reshape(-1, BIT_WORDS), ends
 
 
+def _bags(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of slots that hold a text's words, each labelled with its occurrence number, and how many words of 64 slots
+    each text has: a power of two, for BAG_SLOTS slots a word; none for short texts.
+
+    Two texts' labelled words differ in as many as their words' counts do, twice the edits at most, less the difference of
+    lengths; a slot that differs holds one of these. Slots in proportion to the words keep few of them from cancelling out,
+    and the halves of a bag, held against each other, are the bag of half as many slots."""
+    need = -(-words * BAG_SLOTS // 64)
+    sizes = np.where(need > WHOLE, 1 << np.ceil(np.log2(np.maximum(need, 1))).astype(np.int64), 0)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    text_of = np.repeat(np.arange(len(words)), words)
+    mask = sizes[text_of] > 0
+    own, at = hashes[mask], text_of[mask]
+    slot = (_labelled(own, at) & (64 * sizes[at] - 1).astype(U64)).astype(np.int64)
+    bits = np.zeros(begin[-1], U64)
+    np.bitwise_xor.at(bits, begin[at] + slot // 64, U64(1) << (slot % 64).astype(U64))
+    return bits, sizes
+
+
 def _shingles(h: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles in text order, and the text of each; a shorter text is one shingle."""
     text_of = np.repeat(np.arange(len(words)), words)
@@ -336,6 +362,15 @@ def _may_link(similarity: float) -> Column:
     return (apart <= most) & (different(range(WHOLE)) + apart <= 2 * most) & ends
 
 
+def _bags_may_link(similarity: float) -> Column:
+    """What every linked pair fulfils, from lengths n and bags of both; the larger bag is folded to the smaller one's size."""
+    most = F.floor(F.greatest("n_a", "n_b") * (1 - similarity) + 1e-9)
+    size = F.least(F.size("bag_a"), F.size("bag_b"))
+    fold = lambda c: F.when(F.size(c) == size, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y)))
+    differ = F.aggregate(F.zip_with(fold("bag_a"), fold("bag_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return (size == 0) | (F.greatest(F.size("bag_a"), F.size("bag_b")) > 2 * size) | (differ + F.abs(F.col("n_a") - F.col("n_b")) <= 2 * most)
+
+
 def _aligned_pairs(pairs: DataFrame, sides: DataFrame, codes, similarity: float) -> DataFrame:
     """The pairs (a, b) that are linked by the integers that `codes` gives for column x of sides (nid, x)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -395,10 +430,10 @@ def _firsts(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> D
 
 
 def _sketched(firsts: DataFrame, rows: int, minima: int) -> DataFrame:
-    """nid (a number), node, again, n (words), keys, bits, ends and letters of one row for each distinct text; of a text whose
+    """nid (a number), node, again, n (words), keys, bits, ends, bag and letters of one row for each distinct text; of a text whose
     first row repeats, one for each task that reads it, which link like copies."""
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("node", pa.binary()), ("again", pa.bool_()), ("n", pa.int64()), ("keys", longs), ("bits", longs), ("ends", pa.int64()), ("letters", pa.binary())])
+    schema = pa.schema([("node", pa.binary()), ("again", pa.bool_()), ("n", pa.int64()), ("keys", longs), ("bits", longs), ("ends", pa.int64()), ("bag", longs), ("letters", pa.binary())])
 
     def sketch(batches):
         seen: set[bytes] = set()
@@ -413,11 +448,12 @@ def _sketched(firsts: DataFrame, rows: int, minima: int) -> DataFrame:
             s = Sketches(batch.column("text"), WORDS, rows, minima)
             keys = pa.ListArray.from_arrays(s.offsets.astype(np.int32), pa.array(s.keys))
             bits = pa.ListArray.from_arrays(np.arange(0, s.bits.size + 1, BIT_WORDS, dtype=np.int32), pa.array(s.bits.reshape(-1)))
+            bags = pa.ListArray.from_arrays(s.bag_offsets.astype(np.int32), pa.array(s.bags))
             stops = np.concatenate([[0], np.cumsum(s.words)]).astype(np.int32)
             letters = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(s.letters.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("again"), pa.array(s.words), keys, bits, pa.array(s.ends), letters], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("again"), pa.array(s.words), keys, bits, pa.array(s.ends), bags, letters], schema=schema)
 
-    out = firsts.mapInArrow(lean(sketch), "node binary, again boolean, n long, keys array<long>, bits array<long>, ends long, letters binary")
+    out = firsts.mapInArrow(lean(sketch), "node binary, again boolean, n long, keys array<long>, bits array<long>, ends long, bag array<long>, letters binary")
     # numbers are settled when the table is written: a task that runs again writes all of its rows again
     return out.withColumn("nid", F.monotonically_increasing_id())
 
@@ -457,13 +493,13 @@ def _labels(work: Workspace, sketched: DataFrame, firsts: DataFrame, similarity:
             break
         # a pair that shares several keys meets in the least of them only; a node has few keys
         shared = rest.groupBy("nid").agg(F.collect_list("key").alias("common"))
-        rest = rest.join(facts, "nid").join(shared, "nid")
+        rest = rest.join(sketched.select("nid", "n", "bits", "ends", "bag"), "nid").join(shared, "nid")
         chosen = rest.where((F.col("rank") >= (0 if pivots == 1 else pivots)) & (F.col("rank") < pivots * PIVOT_GROWTH))
-        own_side = lambda df, x: df.select("key", F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "ends", "rank", "common")], F.col("component").alias(f"c_{x}"))
+        own_side = lambda df, x: df.select("key", F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "ends", "bag", "rank", "common")], F.col("component").alias(f"c_{x}"))
         p, b = own_side(chosen, "a"), own_side(rest, "b")
-        before = F.struct("rank_a", "a") < F.struct("rank_b", "b")
+        before = (F.col("rank_a") < F.col("rank_b")) | ((F.col("rank_a") == F.col("rank_b")) & (F.col("a") < F.col("b")))
         first = F.col("key") == F.array_min(F.array_intersect("common_a", "common_b"))
-        met = b.join(p, "key").where(before & (F.col("c_a") != F.col("c_b")) & _may_link(similarity) & first)
+        met = b.join(p, "key").where(before & (F.col("c_a") != F.col("c_b")) & _may_link(similarity) & first & _bags_may_link(similarity))
         pairs = work.written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links = _verified(work, pairs, sketched, firsts, similarity)
         if not links.isEmpty():

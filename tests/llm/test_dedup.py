@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from helixframe.llm import order_minhash
 from helixframe.llm.exact_dedup import PatriciaTrie, dedup_report, drop_copies, owners
 from helixframe.llm.graph_cc import components
 from helixframe.llm.order_minhash import WHOLE, Sketches, all_linked, drop_near_copies, edits_within, linked, near_report
@@ -236,6 +237,42 @@ def test_parities_never_exceed_the_edits():
     assert out > 40
 
 
+def test_bags_never_exceed_the_edits():
+    """Bags of texts of many lengths, folded to the smaller one, against edit distances; and they come near where words differ."""
+    rng, texts = random.Random(9), []
+    for _ in range(120):
+        a = [f"w{rng.randrange(900)}" for _ in range(rng.choice([100, 129, 260, 500]))] + ["is", "so"] * rng.randrange(80)
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3)):
+            i, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            b[i : i + (kind > 0)] = [f"w{rng.randrange(900)}"] * (kind < 2)
+        texts += [a, b]
+    s, near = Sketches(pa.array([" ".join(x).encode() for x in texts])), 0
+    bags = [s.bags.view(np.uint64)[i:j] for i, j in zip(s.bag_offsets, s.bag_offsets[1:])]
+    for i in range(0, len(texts), 2):
+        x, y = sorted(bags[i : i + 2], key=len)
+        assert len(x) * 64 >= 4 * len(texts[i]) or not len(x) or len(x) < len(y)
+        if len(x) and len(y) <= 2 * len(x):
+            y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+            d, apart = distance(texts[i], texts[i + 1]), abs(len(texts[i]) - len(texts[i + 1]))
+            differ = int(np.bitwise_count(x ^ y).sum()) + apart
+            assert differ <= 2 * d
+            near += differ > 1.4 * d
+    assert near > 40
+
+
+def test_texts_that_repeat_one_phrase_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Heads of other words before a long run of one phrase: the texts share buckets, but their words rule links out."""
+    rng, pairs = random.Random(4), []
+    rows = [(i, " ".join([f"w{rng.randrange(10**9)}" for _ in range(240)] + ["is", "so"] * 280)) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(" is so", " is", 20)) for i in range(10)]
+    verified = order_minhash._verified
+    monkeypatch.setattr(order_minhash, "_verified", lambda work, found, *rest: pairs.append(found.count()) or verified(work, found, *rest))
+    got = {r["doc_id"]: r["class_id"] for r in near_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 100 for i in [*range(60), *range(100, 110)]}
+    assert sum(pairs) < 300 < 60 * 59 / 2
+
+
 @pytest.mark.parametrize("words", [60, 150, 500])
 def test_recall_of_candidates_up_to_twenty_percent_edits(words):
     """Pairs that the link rule accepts: random substitutions, insertions and deletions of up to a fifth of the words."""
