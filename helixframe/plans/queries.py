@@ -559,7 +559,7 @@ SELECT id, min(dist) AS dist, CAST(0 AS BIGINT) AS centre FROM t GROUP BY 1""")
 def graph_distances(spark, sf_dir):
     edges = views.order_graph(spark, sf_dir)
     seeds = spark.createDataFrame([(3, 0)], "id long, centre long")
-    return graph.distances(views.vertices(edges), edges, seeds)
+    return graph.distances(edges, seeds)
 
 
 @query()

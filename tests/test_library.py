@@ -319,6 +319,20 @@ def test_distances_write_only_what_is_reached(spark, wide_graph, rows_written, m
     assert max(rows_written) <= 60
 
 
+def test_lloyd_writes_only_what_is_reached(spark, wide_graph, rows_written):
+    edges, ids, v, e = wide_graph
+    seeds = [(1, 0), (20, 1), (40, 2)]
+    near = shortest(edges, [(i, 0, c) for i, c in seeds])
+    border = [x for a, b, _ in edges if a in near and near[a][1] != near[b][1] for x in (a, b)]
+    inner = shortest(edges, [(x, 0, near[x][1]) for x in border])
+    state, new = graph.lloyd(v, e, spark.createDataFrame(seeds, "id long, centre long"))
+    own = {r["id"]: (r["centre"], r["to_border"]) for r in state.collect()}
+    assert own == {i: (near.get(i, (0, -1))[1], inner.get(i, (math.inf, 0))[0]) for i in ids}
+    assert sorted(rows_written)[-2] <= 60 and max(rows_written) == len(ids)
+    best = {c: max((own[x][1], x == s, -x) for x in ids if own[x][0] == c) for s, c in seeds}
+    assert {r["centre"]: r["id"] for r in new.collect()} == {c: -k[2] for c, k in best.items()}
+
+
 def test_generators(spark):
     g = generate.rmat(spark, 6, 4)
     assert g.count() == 4 * 64 and g.where("src = dst OR src < 0 OR src > 63").isEmpty()
