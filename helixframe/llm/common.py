@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Short rows that a task takes at least, where their number is known.
+TASK_ROWS = 20_000
 _own: dict[str, str] = {}
 _kept: list[str] = []
 
@@ -81,6 +83,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def packed(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """df, of so many rows at most, in no more tasks than these are worth."""
+    return df.coalesce(max(1, -(-rows // task_rows)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the splitmix finaliser)."""
     x = x ^ (x >> U64(30))

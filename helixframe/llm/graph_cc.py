@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, delete_dir, shared_dir, written
+from .common import Workspace, delete_dir, lean, shared_dir, written
+
+#: Up to so many links (16 bytes each) between numbers are joined up in one task, which costs less than one step does.
+LOCAL_LINKS = 500_000
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links between numbers, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        # greater roots are hung below lesser ones, and then all nodes below their roots
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _local(links: DataFrame) -> DataFrame:
+    schema = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+
+    def join_up(batches):
+        parts = list(batches)
+        if parts:
+            found = least_reached(*(np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in "ab"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
+
+    return links.coalesce(1).mapInArrow(lean(join_up), "node long, component long")
 
 
 def components(links: DataFrame, work: Workspace | None = None) -> DataFrame:
@@ -13,10 +47,17 @@ def components(links: DataFrame, work: Workspace | None = None) -> DataFrame:
     null end and links of a node with itself say nothing; repeated links count once; no links give no rows. work: the
     workspace that deletes the table behind the result.
 
-    Each step is two aggregations and joins by key, written to the shared folder, so neither a large component nor a
-    long chain is ever gathered in one task; a hot node's rows are split by the skew join."""
+    Up to LOCAL_LINKS links between longs are joined up in one task. Beyond, each step is two aggregations and joins by key,
+    written to the shared folder, so neither a large component nor a long chain is ever gathered in one task; a hot node's
+    rows are split by the skew join."""
     spark = links.sparkSession
     path = shared_dir(spark)
+    if all(kind == "bigint" for _, kind in links.select("a", "b").dtypes):
+        own = links.where("a <> b").select("a", "b")
+        if own.count() <= LOCAL_LINKS:
+            if work is not None:
+                work.paths.append(path)
+            return written(_local(own), path)
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
     before = None
     while True:

@@ -9,12 +9,13 @@ components of the links. At 20 % random edits, where a fifth of the shingles are
 candidates, and nearly all at fewer edits (the recall test measures this).
 
 Equal texts are one node; only one row of each is sketched. In a bucket (equal key) all members are first held against
-one pivot; then, round by round, against sixteen times as many pivots each, but only members whose components still
+one pivot; then, round by round, against more pivots each, but only members whose components still
 differ. At the end every pair of a bucket was verified, is in one class, or can't be linked: lengths and the parities of the
 words' counts in slots, of whole texts and of their beginnings and ends, bound a pair's edits from below, as do, where members
 meet, bags of words in slots that grow with the text; a pair goes unverified only if a bound is beyond the edits that a link allows. No link depends on a bucket's size. A group of thousands of copies costs one comparison a
 member, a passage that many unlinked texts share one comparison of parities a pair, inside the join. No bucket is gathered
-in a task: buckets are met by joins, whose hot keys are split, and counted by partial sums.
+in a task: members stay where they are and pivots come to them, or they are met by joins, whose hot keys are split, where
+pivots are too many to be sent; buckets are counted by partial sums.
 
 Null texts count as empty; empty texts are equal to each other. A text of under five words is one shingle, and a text of
 one shingle has it for its only key. Nulls in other columns don't matter; null ids never name a class unless all of its
@@ -31,15 +32,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, lean, mix, pieces_of, seeds, small, text_buffer, word_bounds, word_hashes
+from .common import Workspace, lean, mix, packed, pieces_of, seeds, small, text_buffer, word_bounds, word_hashes
 from .graph_cc import components
 
 U64 = np.uint64
 WORDS, ROWS, MINIMA, SIMILARITY = 5, 4, 6, 0.8
 #: Growth of the number of pivots from round to round.
-PIVOT_GROWTH = 16
+PIVOT_GROWTH = 64
 #: Tables of up to so many rows (at most 40 bytes each) are broadcast, and joined by a shuffle beyond.
 BROADCAST_NODES = 200_000
+#: A round's pivots are broadcast in up to so many parts of up to so many rows (some 400 bytes each), and joined by a shuffle
+#: where they are more.
+PIVOT_PARTS, PIVOT_ROWS = 8, 60_000
+#: Where no bucket has more members than this, the third round takes all that are left as pivots.
+LAST_PIVOTS = 1 << 14
+#: Pairs that a task aligns at least, where their number is known.
+_TASK_PAIRS = 1000
 _SPREAD = 32
 #: Words of 64 parities each of the whole text, of its beginning and of its end.
 WHOLE, ENDS = 8, 4
@@ -353,13 +361,20 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _may_link(similarity: float) -> Column:
-    """What every linked pair fulfils, from lengths n and parities of both."""
+def _may_link(similarity: float, whole: str | None = None) -> Column:
+    """What every linked pair fulfils, from lengths n and parities of both. whole: the name before the numbers of columns that
+    hold the whole's parities, which are read faster than arrays are."""
     most = F.floor(F.greatest("n_a", "n_b") * (1 - similarity) + 1e-9)
     apart = F.abs(F.col("n_a") - F.col("n_b"))
     different = lambda *words: sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for r in words for i in r), F.lit(0))
+    if whole:
+        apart_in = [F.bit_count(F.col(f"{whole}{i}_a").bitwiseXOR(F.col(f"{whole}{i}_b"))) for i in range(WHOLE)]
+        half, full = sum(apart_in[: WHOLE // 2], F.lit(0)), sum(apart_in, F.lit(0))
+        within = (half + apart <= 2 * most) & (full + apart <= 2 * most)
+    else:
+        within = different(range(WHOLE)) + apart <= 2 * most
     ends = (F.col("ends_a") != F.col("ends_b")) | (different(range(WHOLE, BIT_WORDS)) <= 2 * most)
-    return (apart <= most) & (different(range(WHOLE)) + apart <= 2 * most) & ends
+    return (apart <= most) & within & ends
 
 
 def _bags_may_link(similarity: float) -> Column:
@@ -388,7 +403,8 @@ def _aligned_pairs(pairs: DataFrame, sides: DataFrame, codes, similarity: float)
                 first = end
 
     left, right = (sides.select(F.col("nid").alias(x), F.col("x").alias(f"{x}x")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ax", "bx").mapInArrow(lean(align), "a long, b long")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ax", "bx")
+    return packed(both, pairs.count(), _TASK_PAIRS).mapInArrow(lean(align), "a long, b long")
 
 
 def _letters(a: list[bytes], b: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -409,7 +425,7 @@ def _verified(work: Workspace, pairs: DataFrame, sketched: DataFrame, firsts: Da
         alike = work.written(_aligned_pairs(pairs, sketched.select("nid", F.col("letters").alias("x")), _letters, similarity))
     # only texts of candidates move
     ids = alike.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-    wanted = work.written(ids.join(sketched.select("nid", "node"), "nid"))
+    wanted = work.written(packed(ids.join(sketched.select("nid", "node"), "nid"), 2 * alike.count()))
     texts = firsts.join(small(wanted, BROADCAST_NODES), "node").select("nid", F.col("text").alias("x"), "again")
     if not sketched.where("again").isEmpty():
         texts = texts.dropDuplicates(["nid"])
@@ -460,12 +476,37 @@ def _sketched(firsts: DataFrame, rows: int, minima: int) -> DataFrame:
 
 def _merged(work: Workspace, labels: DataFrame, links: DataFrame) -> DataFrame:
     """(nid, component) after more links."""
-    a, b = (labels.select(F.col("nid").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    new = work.written(components(between, work)).select(F.col("node").alias("old"), F.col("component").alias("new"))
-    fresh = links.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(labels, "nid", "left_anti").select("nid", F.col("nid").alias("old"))
+    n, more = labels.count(), links.count()
+    known = F.broadcast(labels) if n <= BROADCAST_NODES else labels
+    a, b = (known.select(F.col("nid").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = work.written(links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    new = small(work.written(components(between, work)), BROADCAST_NODES).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(known, "nid", "left_anti").select("nid", F.col("nid").alias("old"))
     old = labels.select("nid", F.col("component").alias("old")).union(fresh)
-    return work.written(old.join(new, "old", "left").select("nid", F.coalesce("new", "old").alias("component")))
+    return work.written(packed(old.join(new, "old", "left").select("nid", F.coalesce("new", "old").alias("component")), n + 2 * more))
+
+
+def _met(work: Workspace, nodes: DataFrame, low: int, high: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different components, one a member of a bucket with a rank from low up to high and the other of no
+    lesser rank, that no bound rules out. A pair that shares several keys meets in the least of them only. nodes: nid,
+    component, n, bits, ends, bag, and key, size and rank of all of a node's buckets."""
+    rest = nodes.select("nid", "component", "n", "bits", "ends", "bag", F.col("at.key").alias("common"), F.inline("at"))
+    chosen = rest.where((F.col("rank") >= low) & (F.col("rank") < high))
+    own_side = lambda df, x: df.select("key", F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "ends", "bag", "rank", "common")], *[F.get("bits", F.lit(i)).alias(f"word{i}_{x}") for i in range(WHOLE)], F.col("component").alias(f"c_{x}"))
+    before = (F.col("rank_a") < F.col("rank_b")) | ((F.col("rank_a") == F.col("rank_b")) & (F.col("a") < F.col("b")))
+    first = F.col("key") == F.array_min(F.array_intersect("common_a", "common_b"))
+    parts = -(-chosen.count() // PIVOT_ROWS)
+    # pivots that come to the members, part by part, leave no hot key to be split on both sides
+    few = 0 < parts <= PIVOT_PARTS
+    found = []
+    for i in range(parts if few else 1):
+        own = F.broadcast(chosen.where(F.pmod(F.xxhash64("key", "nid"), F.lit(parts)) == i)) if few else chosen
+        met = own_side(rest, "b").join(own_side(own, "a"), "key").where(before & (F.col("c_a") != F.col("c_b")) & _may_link(similarity, "word") & first & _bags_may_link(similarity))
+        found.append(work.written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def _labels(work: Workspace, sketched: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
@@ -476,35 +517,31 @@ def _labels(work: Workspace, sketched: DataFrame, firsts: DataFrame, similarity:
     facts = sketched.select("nid", "n", "bits", "ends")
     side = lambda x: facts.select(F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "ends")])
     met = members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
-    pairs = work.written(met.join(side("a"), "a").join(side("b"), "b").where(_may_link(similarity)).select("a", "b"))
+    rows, largest = members.agg(F.count("*"), F.max("size")).first()
+    pairs = work.written(packed(met.join(side("a"), "a").join(side("b"), "b").where(_may_link(similarity)).select("a", "b"), rows))
     labels = work.written(components(_verified(work, pairs, sketched, firsts, similarity, False), work).withColumnRenamed("node", "nid"))
-    pivots, largest = 1, members.agg(F.max("size")).first()[0] or 0
+    pivots, largest = 1, largest or 0
     # a scramble of the number as a fraction times the bucket's size is about a member's rank; the first pivot has had
     # its turn
     rank = F.floor((F.xxhash64("nid") / F.lit(2.0**64) + 0.5) * F.col("size"))
     pool = members.where("size > 2 AND nid <> pivot").select("key", "size", "nid", rank.alias("rank"))
     while pivots < largest:
         # from round to round only buckets go on that held several components
-        own = pool.where(F.col("size") > pivots).join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+        own = pool.where(F.col("size") > pivots).join(small(labels, BROADCAST_NODES), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
         mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rest = work.written(own.join(mixed, "key"))
-        pool = rest.drop("component")
-        if rest.isEmpty():
+        # a node is met with its facts once, whatever the number of its keys, which are few
+        nodes = own.join(mixed, "key").groupBy("nid").agg(F.first("component").alias("component"), F.collect_list(F.struct("key", "size", "rank")).alias("at"))
+        nodes = work.written(nodes.join(sketched.select("nid", "n", "bits", "ends", "bag"), "nid"))
+        pool = nodes.select("nid", F.inline("at"))
+        if nodes.isEmpty():
             break
-        # a pair that shares several keys meets in the least of them only; a node has few keys
-        shared = rest.groupBy("nid").agg(F.collect_list("key").alias("common"))
-        rest = rest.join(sketched.select("nid", "n", "bits", "ends", "bag"), "nid").join(shared, "nid")
-        chosen = rest.where((F.col("rank") >= (0 if pivots == 1 else pivots)) & (F.col("rank") < pivots * PIVOT_GROWTH))
-        own_side = lambda df, x: df.select("key", F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "ends", "bag", "rank", "common")], F.col("component").alias(f"c_{x}"))
-        p, b = own_side(chosen, "a"), own_side(rest, "b")
-        before = (F.col("rank_a") < F.col("rank_b")) | ((F.col("rank_a") == F.col("rank_b")) & (F.col("a") < F.col("b")))
-        first = F.col("key") == F.array_min(F.array_intersect("common_a", "common_b"))
-        met = b.join(p, "key").where(before & (F.col("c_a") != F.col("c_b")) & _may_link(similarity) & first & _bags_may_link(similarity))
-        pairs = work.written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        largest = pool.agg(F.max("size")).first()[0]
+        after = largest + 1 if pivots > 1 and largest <= LAST_PIVOTS else pivots * PIVOT_GROWTH
+        pairs = _met(work, nodes, 0 if pivots == 1 else pivots, after, similarity)
         links = _verified(work, pairs, sketched, firsts, similarity)
         if not links.isEmpty():
             labels = _merged(work, labels, links)
-        pivots *= PIVOT_GROWTH
+        pivots = after
     return labels
 
 
@@ -516,12 +553,12 @@ def near_classes(work: Workspace, docs: DataFrame, id_col: str = "doc_id", text_
     sketched = work.written(_sketched(firsts, rows, minima))
     labels = _labels(work, sketched, firsts, similarity)
     sizes = sketched.groupBy("node").agg(F.min("nid").alias("nid"), F.first("n").alias("n_words"))
-    linked_nodes = work.written(labels.join(sketched.select("nid", "node"), "nid").groupBy("node").agg(F.min("component").alias("component")).join(groups, "node"))
+    linked_nodes = work.written(sketched.select("nid", "node").join(small(labels, BROADCAST_NODES), "nid").groupBy("node").agg(F.min("component").alias("component")).join(groups, "node"))
     order = F.struct(F.col("first_id").isNull().alias("null"), F.col("first_id"), F.col("node"))
     classes = work.written(linked_nodes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"), F.min(order).alias("best")))
     # written tables on both sides, so that the join may split the component of a large class
     named = work.written(linked_nodes.join(small(classes, BROADCAST_NODES), "component").select("node", "class_id", "class_size", (F.col("best.node") == F.col("node")).alias("head")))
-    every = groups.join(sizes.drop("nid"), "node").join(named, "node", "left")
+    every = groups.join(sizes.drop("nid"), "node").join(small(named, BROADCAST_NODES), "node", "left")
     alone = F.col("head").isNull()
     return every.select("node", "first_id", "rows", "again", "n_words", F.when(alone, F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", "rows").alias("class_size"), F.coalesce("head", F.lit(True)).alias("head"))
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from helixframe.llm import order_minhash
+from helixframe.llm import graph_cc, order_minhash
 from helixframe.llm.exact_dedup import PatriciaTrie, dedup_report, drop_copies, owners
 from helixframe.llm.graph_cc import components
 from helixframe.llm.order_minhash import WHOLE, Sketches, all_linked, drop_near_copies, edits_within, linked, near_report
@@ -315,6 +315,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_join_up_alike_in_one_task_and_in_steps(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i + 1, i) for i in range(500, 560)] + [(7, None)]
+    links = spark.createDataFrame(edges, "a long, b long")
+    once = {tuple(r) for r in components(links).collect()}
+    monkeypatch.setattr(graph_cc, "LOCAL_LINKS", 0)
+    assert once == {tuple(r) for r in components(links).collect()}
+
+
+@pytest.mark.parametrize("parts, rows", [(8, 60_000), (50, 150), (0, 1)])
+def test_pivots_that_are_sent_find_all_links_of_a_shared_passage(spark, monkeypatch, parts, rows):
+    monkeypatch.setattr(order_minhash, "PIVOT_PARTS", parts)
+    monkeypatch.setattr(order_minhash, "PIVOT_ROWS", rows)
+    monkeypatch.setattr(order_minhash, "PIVOT_GROWTH", 4)
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage, texts = words(60), []
+    for c in range(25):
+        own = words(30) + passage
+        texts += [own, own[:2] + ["edit"] + own[3:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_report(docs).collect()}
+    assert not any(linked(texts[i], texts[j]) for i in range(0, 50, 2) for j in range(i + 2, 50, 2))
+    assert got == {i: i - i % 2 for i in range(50)}
+
+
 def test_planted_near_copies_are_found(spark):
     rng = random.Random(8)
     rows, classes = [], {}
