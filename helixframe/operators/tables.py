@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -27,11 +27,11 @@ def shared_path(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/round-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the shared folder."""
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """df computed once and read back from the shared folder. options: of the Parquet writer."""
     path = shared_path(df.sparkSession)
     _made.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -43,7 +43,7 @@ def clean_up(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, key: str | Column, name: str) -> DataFrame:
     """df with `name`, the place of each row from 0 in the order of a unique key. Ranges of the key are numbered each by
     itself and shifted by the rows of the ranges before, so only one row a range passes through a single task."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

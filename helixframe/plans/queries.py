@@ -485,8 +485,8 @@ def prefix_sum_stages(spark, sf_dir):
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All reads, and the links between those that share a reliable k-mer."""
-    edges = cut(pairs.candidates_of(views.reads(spark, sf_dir)).select(F.col("v").alias("src"), F.col("h").alias("dst"), F.col("shared").cast("double").alias("w")))
+    """All reads, and the links between those that share a reliable k-mer, which aren't written yet."""
+    edges = pairs.candidates_of(views.reads(spark, sf_dir)).select(F.col("v").alias("src"), F.col("h").alias("dst"))
     return views.reads(spark, sf_dir).select(F.col("read_id").alias("id")), edges
 
 
@@ -506,7 +506,8 @@ SELECT id FROM i JOIN (SELECT unnest(taken) AS n FROM (SELECT taken FROM t ORDER
 @query(f"""WITH RECURSIVE {_LINKS}, t(id, root) AS (SELECT read_id, read_id FROM reads UNION SELECT l.dst, t.root FROM t JOIN l ON l.src = t.id WHERE l.dst > t.root), m AS (SELECT id, min(root) AS label FROM t GROUP BY 1),
 s(id, label) AS (SELECT id, label FROM m) SELECT id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS component FROM s""")
 def graph_components(spark, sf_dir):
-    return graph.components(*_links(spark, sf_dir))
+    vertices, edges = _links(spark, sf_dir)
+    return graph.components(vertices, cut(edges))
 
 
 @query(f"WITH RECURSIVE {ORDER_GRAPH}, t(id, level) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT b.dst, level + 1 FROM t JOIN b ON b.src = t.id WHERE level < 12) SELECT id, min(level) AS level FROM t GROUP BY 1")

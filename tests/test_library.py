@@ -257,6 +257,66 @@ def test_colorings(small_graph, kernel):
     assert len(color) == 8 and all(color[a] != color[b] for a, b in EDGES if a != b) and min(color.values()) == 0 and max(color.values()) <= 2
 
 
+def plain_pass(order, near, k):
+    """What a pass in order takes, each over k edges from those before."""
+    taken, gone = [], set()
+    for v in order:
+        if v not in gone:
+            taken.append(v)
+            reach = {v}
+            for _ in range(k):
+                reach |= {u for x in reach for u in near[x]}
+            gone |= reach
+    return sorted(taken)
+
+
+def plain_colors(near):
+    color = {}
+    for v in sorted(near):
+        used = {color[u] for u in near[v] if u < v}
+        color[v] = next(c for c in range(len(used) + 1) if c not in used)
+    return color
+
+
+@pytest.mark.parametrize(("size", "broadcast"), [(1, 10**6), (40, 10**6), (40, 0), (10**6, 10**6)])
+def test_passes_in_blocks_equal_plain_passes(spark, monkeypatch, size, broadcast):
+    """Loops, edges given twice, hubs, negative ids and vertices without edges, with blocks of few edges and of all."""
+    monkeypatch.setattr(graph, "PASS_EDGES", size)
+    monkeypatch.setattr(graph, "BROADCAST_VERTICES", broadcast)
+    rng, n = random.Random(8), 12 if size == 1 else 60
+    ids = [rng.choice((-1, 1)) * (10 * i + 3) for i in range(n + 5)]
+    pairs = [(rng.choice(ids[:n]), rng.choice(ids[: rng.choice((4, n))])) for _ in range(3 * n)] + [(ids[0], ids[0])]
+    weight, near = {v: v % 4 for v in ids}, {v: set() for v in ids}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    v = spark.createDataFrame([(x, float(y)) for x, y in weight.items()], "id long, y double")
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    heavy = sorted(ids, key=lambda x: (-weight[x], -x))
+    taken = lambda df: sorted(r["id"] for r in df.collect())
+    assert taken(graph.independent_set(v, e)) == plain_pass(sorted(ids), near, 1)
+    assert taken(graph.weighted_independent_set(v, e)) == plain_pass(heavy, near, 1)
+    assert taken(graph.distance_k_set(v, e, 2)) == plain_pass(heavy, near, 2)
+    assert {r["id"]: r["color"] for r in graph.coloring_by_sets(v, e).collect()} == plain_colors(near)
+
+
+@pytest.mark.parametrize("kernel", [graph.coloring_by_sets, graph.independent_set, graph.weighted_independent_set, lambda v, e: graph.distance_k_set(v, e, 2)])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, kernel):
+    """Each vertex waits for the one before, which took a table or more a vertex."""
+    written, cut = [], graph.cut
+
+    def few(df, **options):
+        written.append(df)
+        assert len(written) < 40
+        return cut(df, **options)
+
+    monkeypatch.setattr(graph, "cut", few)
+    v = spark.range(120).select("id", (-F.col("id")).alias("y"))
+    e = spark.range(119).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert kernel(v, e).count() in (120, 60, 40)
+
+
 def test_paths_and_components(small_graph, spark):
     v, e = small_graph
     assert {r["id"]: r["level"] for r in graph.breadth_first(e, 0).collect()} == {0: 0, 1: 1, 3: 1, 2: 2}
