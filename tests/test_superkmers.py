@@ -95,3 +95,29 @@ def test_candidates_without_alignment_meet_no_sequence(spark):
     found = overlap.overlaps(reads, OverlapParams(skip_alignment=True))
     assert "seq_" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["v"], r["h"], r["len_v"], r["len_h"], r["name_h"]) for r in found.collect()} == {(0, 1, 40, 41, "r1"), (0, 2, 40, 42, "r2"), (1, 2, 41, 42, "r2")}
+
+
+def test_pairs_without_alignment_are_not_written_or_joined_by_a_shuffle(reads, monkeypatch):
+    """Only runs of k-mers and packed pairs are shuffled, names are broadcast; an empty band is still an error at once."""
+    named = reads.withColumn("nametag", F.concat(F.lit("r"), "read_id"))
+    monkeypatch.setattr(overlap, "cut", lambda df: pytest.fail("written"))
+    found = overlap.overlaps(named, OverlapParams(skip_alignment=True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(bucket") == 2
+    want = sorted((r["v"], r["h"], r["shared"], r["ov"], r["len_v"], r["len_h"], f"r{r['v']}", f"r{r['h']}") for r in pairs.chosen_of(reads).collect())
+    assert sorted((r["v"], r["h"], r["shared"], r["ov"], r["len_v"], r["len_h"], r["name_v"], r["name_h"]) for r in found.collect()) == want
+    with pytest.raises(ValueError, match="reliable"):
+        overlap.overlaps(named.limit(0), OverlapParams(skip_alignment=True))
+
+
+@pytest.mark.parametrize("width", [1, 40, 500])
+def test_pairs_that_need_no_fold_equal_the_fold(width):
+    rng, params = np.random.default_rng(7), OverlapParams(bin_width=width)
+    seeds = [sorted({(int(a), int(a) + int(b)) for a, b in zip(rng.integers(0, rng.choice((9, 30, 900)), n), rng.integers(0, rng.choice((1, 3, 800)), n), strict=True)}) for n in rng.integers(1, 9, 300)]
+    flat, begin = [s for own in seeds for s in own], np.cumsum([0, *map(len, seeds)])[:-1]
+    at_v, at_h = np.array(flat).T
+    ov, ids = rng.integers(0, 60, len(flat)), np.arange(300)
+    got = list(zip(*(c.tolist() for c in pairs._chosen_columns(ids, ids + 1, ids, ids, begin, at_v, at_h, ov, params)), strict=True))
+    triples = list(zip(at_v.tolist(), at_h.tolist(), ov.tolist(), strict=True))
+    ends = [*begin[1:].tolist(), len(flat)]
+    assert got == [(*pairs._chosen_row(i, i + 1, triples[a:b], params), i, i) for i, (a, b) in enumerate(zip(begin.tolist(), ends, strict=True))]
