@@ -130,8 +130,8 @@ def _dealt_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def deal(reads: DataFrame, params: OverlapParams, buckets: int, lengths: bool = True, only: int | None = None) -> DataFrame:
-    """The reads' runs of k-mers, packed by bucket; without lengths these are 0. only: the one bucket that is wanted.
-    reads: read_id, seq."""
+    """The reads' runs of k-mers, packed by bucket; without lengths these and the places in reads are 0. only: the one
+    bucket that is wanted. reads: read_id, seq."""
     k, n_as_g = params.k, params.n_policy == "as_g"
 
     def run(batches):
@@ -148,8 +148,8 @@ def deal(reads: DataFrame, params: OverlapParams, buckets: int, lengths: bool =
                     if only is not None:
                         at, count, bucket, read = (c[bucket == only] for c in (at, count, bucket, read))
                     if len(at):
-                        size = np.diff(own)[read] if lengths else np.zeros(len(read))
-                        held.append(((at + letters).astype(np.int32), count.astype(np.int32), bucket, ids[first:end][read], (at - own[:-1][read]).astype(np.int32), size.astype(np.int32), bases))
+                        size, place = (np.diff(own)[read], at - own[:-1][read]) if lengths else (np.zeros(len(read)), np.zeros(len(read)))
+                        held.append(((at + letters).astype(np.int32), count.astype(np.int32), bucket, ids[first:end][read], place.astype(np.int32), size.astype(np.int32), bases))
                         letters += len(bases)
                 first = end
                 if letters >= _FLUSH:

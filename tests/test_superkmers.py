@@ -82,6 +82,8 @@ def test_few_bytes_are_shuffled_per_kmer(spark):
     reads = views.reads(spark, DATA)
     n = kmers.kmer_occurrences(reads).count()
     assert superkmers.deal(reads, OverlapParams(), 16).agg(F.sum(F.length("data"))).first()[0] < 3 * n
+    sizes = [superkmers.deal(reads, OverlapParams(), 16, lengths).agg(F.sum(F.length("data"))).first()[0] for lengths in (False, True)]
+    assert sizes[0] < 0.85 * sizes[1]
     for name in ("occurrence_matrix", "overlap_candidates", "spgemm_stats", "seed_overlap_estimate", "chain_fold"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         dealt = [line for line in plan.splitlines() if "Repartition" in line]
