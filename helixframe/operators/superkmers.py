@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.params import OverlapParams
 from .kmers import _BASES, _CHUNK, _SCHEMA, OCCURRENCES, _buffer, _words
 
-_FLUSH, _HELD, _PLACES, _ROWS, _MET = 1 << 22, 1 << 21, 1 << 19, 1 << 17, 1 << 20
+_FLUSH, _HELD, _PLACES, _ROWS, _MET, _SEEDS = 1 << 22, 1 << 21, 1 << 19, 1 << 17, 1 << 20, 1 << 20
 _DEALT = "bucket int, runs long, bytes int, data binary"
 _DEALT_SCHEMA = pa.schema([("bucket", pa.int32()), ("runs", pa.int64()), ("bytes", pa.int32()), ("data", pa.binary())])
 COUNTS = "v long, h long, shared long"
@@ -326,7 +326,12 @@ def _seeds_of_pairs(k: int, v, h, len_v, len_h, pos_v, pos_h, size) -> Iterator[
     """Some pairs at a time: v, h, both lengths and where the seeds of each begin, and the seeds' pos_v, pos_h and overlaps, in
     the order of places in a pair."""
     begin = _groups(v, h)
-    for some in np.array_split(begin, max(1, len(begin) // 8192)):
+    # so many seeds at a time, as two long copies share thousands; a pair has some bytes of its own
+    weight = np.cumsum(np.add.reduceat(size.astype(np.int64), begin) + 128) if len(begin) else begin
+    cuts = np.unique(np.searchsorted(weight, np.arange(_SEEDS, weight[-1], _SEEDS), "right")) if len(begin) else []
+    for some in np.split(begin, cuts):
+        if not len(some):
+            continue
         i, after = int(some[0]), np.searchsorted(begin, some[-1], "right")
         j = int(begin[after]) if after < len(begin) else len(v)
         n, heads = size[i:j].astype(np.int64), some - i

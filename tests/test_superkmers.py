@@ -123,3 +123,16 @@ def test_pairs_that_need_no_fold_equal_the_fold(width):
     triples = list(zip(at_v.tolist(), at_h.tolist(), ov.tolist(), strict=True))
     ends = [*begin[1:].tolist(), len(flat)]
     assert got == [(*pairs._chosen_row(i, i + 1, triples[a:b], params), i, i) for i, (a, b) in enumerate(zip(begin.tolist(), ends, strict=True))]
+
+
+def test_seeds_are_computed_some_at_a_time(monkeypatch):
+    """Pairs of many seeds: a part has the limit's seeds at most, or one pair, and the parts make the whole."""
+    rng, n = np.random.default_rng(4), 40
+    pair, size = np.sort(rng.integers(0, n, 3 * n)), rng.integers(1, 400, 3 * n).astype(np.int32)
+    rows = [pair, pair + 1000, *(np.full(3 * n, 10**6, np.int32) for _ in range(2)), np.arange(0, 3 * n * 500, 500, dtype=np.int32), rng.integers(0, 10**5, 3 * n).astype(np.int32) * 2 + 1, size]
+    every = list(superkmers._seeds_of_pairs(17, *rows))
+    monkeypatch.setattr(superkmers, "_SEEDS", 2000)
+    parts = list(superkmers._seeds_of_pairs(17, *rows))
+    assert len(every) == 1 and all(len(p[0]) == 1 or len(p[5]) <= 2000 for p in parts) and len(parts) > 5
+    for i in (0, 1, 2, 3, 5, 6, 7):
+        assert np.array_equal(np.concatenate([p[i] for p in parts]), every[0][i])
